@@ -31,6 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as the cluster has cores, for costly work on each row.
+
+    Inputs with enough partitions, as all large ones have, are left where they are.
+    """
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
