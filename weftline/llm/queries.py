@@ -35,12 +35,12 @@ ORACLE = {
     "p8_stats": r"""
 WITH cw AS (SELECT DISTINCT lower(word) AS w FROM common_words WHERE word IS NOT NULL),
 d AS (SELECT row_number() OVER () AS k, doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}]+') AS ws,
-      list_filter(list_transform(string_split(text, chr(10)), x -> trim(x, chr(32) || chr(9) || chr(13) || chr(12) || chr(11))), x -> x <> '') AS ls FROM documents),
+      list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(12) || chr(11))), lambda x: x <> '') AS ls FROM documents),
 c AS (SELECT k, count(*) AS n FROM (SELECT k, unnest(ws) AS w FROM d) u JOIN cw ON lower(u.w) = cw.w GROUP BY k)
 SELECT doc_id, CAST(coalesce(len(ws), 0) AS INT) AS n_words,
-  round(CASE WHEN len(ws) > 0 THEN list_sum(list_transform(ws, x -> length(x))) / len(ws) END, 6) AS mean_word_len,
+  round(CASE WHEN len(ws) > 0 THEN list_sum(list_transform(ws, lambda x: length(x))) / len(ws) END, 6) AS mean_word_len,
   round(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[\p{L}\p{N} \t\n\r\f\v]', '', 'g')) / length(text) END, 6) AS symbol_ratio,
-  round(CASE WHEN len(ls) > 0 THEN len(list_filter(ls, x -> right(x, 1) IN ('.', '!', '?', '…', '。', '！', '？'))) / len(ls) END, 6) AS line_punct,
+  round(CASE WHEN len(ls) > 0 THEN len(list_filter(ls, lambda x: right(x, 1) IN ('.', '!', '?', '…', '。', '！', '？'))) / len(ls) END, 6) AS line_punct,
   round(CASE WHEN len(ws) > 0 THEN coalesce(c.n, 0) / len(ws) END, 6) AS common_share
 FROM d LEFT JOIN c ON d.k = c.k""",
 }
