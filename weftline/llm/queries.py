@@ -4,10 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import leaks, quality
+from weftline.llm import encode, leaks, neighbours, quality
 from weftline.session import table
 
 
+#: The vocabulary file of byte_bpe_50k; a parameter of the operator.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def p5_found(spark, sf_dir):
+    return neighbours.similar_pairs(neighbours.nearest(table(spark, sf_dir, "vectors"), least=0.8))
+
+
+def p5_topk(spark, sf_dir):
+    near = neighbours.nearest(table(spark, sf_dir, "vectors"), every=20)
+    return near.select("typeno", "featno", "other", "cosine", "rank")
+
+
+def p6_ids(spark, sf_dir):
+    return encode.encode_corpus(table(spark, sf_dir, "documents"), RANKS)
+
+
 def p7_found(spark, sf_dir):
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id").distinct()
 
@@ -29,7 +46,7 @@ def p8_profiles(spark, sf_dir):
     return _quality(spark, sf_dir).select("doc_id", F.round("outside", 6).alias("outside"), "profile")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p8_found, p8_stats, p8_profiles)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_topk, p6_ids, p7_found, p8_found, p8_stats, p8_profiles)}
 
 ORACLE = {
     "p8_stats": r"""
