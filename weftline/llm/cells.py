@@ -110,11 +110,12 @@ def fit_cells(current: DataFrame, *, cell: int = CELL, sample: int = SAMPLE, lar
 ROUTED = T.StructType([T.StructField(n, t) for n, t in (("cell", T.IntegerType()), ("part", T.IntegerType()), ("typeno", T.IntegerType()), ("featno", T.IntegerType()), ("own", T.BooleanType()), ("vec", T.BinaryType()))])
 
 
-def routed(current: DataFrame, cells: Cells, *, probes: int, margin: float) -> DataFrame:
+def routed(current: DataFrame, cells: Cells, *, probes: int, margin: float, every: int = 1) -> DataFrame:
     """Each vector in its own cell and in the near ones, as ``(cell, part, typeno, featno, own, vec)``.
 
     A vector is stored (``own``) in one part of its nearest cell, and visits all parts of up to ``probes`` cells
-    whose centroid is at most ``margin`` less similar than the nearest. ``vec`` holds float32 components.
+    whose centroid is at most ``margin`` less similar than the nearest; those whose ``featno`` isn't divisible by
+    ``every`` visit none. ``vec`` holds float32 components.
     """
     packed = current.sparkSession.sparkContext.broadcast(cells)
 
@@ -130,12 +131,16 @@ def routed(current: DataFrame, cells: Cells, *, probes: int, margin: float) -> D
             for t in np.unique(types):
                 at = np.flatnonzero(types == t)
                 row, cell, own = cells.route(int(t), unit[at], probes, margin)
+                goes = own | (feats[at[row]] % every == 0)
+                row, cell, own = row[goes], cell[goes], own[goes]
                 n_parts = np.where(cell >= 0, cells.parts[np.maximum(cell, 0)], 1)
                 rep = np.repeat(np.arange(len(row)), n_parts)
                 part = np.arange(len(rep)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
                 idx = at[row[rep]]
                 home = (feats[idx].astype(np.int64) * 2654435761 >> 7) % n_parts[rep]
-                out.append((cell[rep], part, types[idx], feats[idx], own[rep] & (home == part), idx))
+                mine = own[rep] & (home == part)
+                stay = mine | (feats[idx] % every == 0)
+                out.append(tuple(c[stay] for c in (cell[rep], part, types[idx], feats[idx], mine, idx)))
             cell, part, typ, feat, own, idx = (np.concatenate(c) for c in zip(*out, strict=True))
             blobs = [r.tobytes() for r in raw]
             yield pd.DataFrame({"cell": cell.astype(np.int32), "part": part.astype(np.int32), "typeno": typ.astype(np.int32), "featno": feat.astype(np.int32), "own": own, "vec": [blobs[i] for i in idx]})

@@ -157,7 +157,7 @@ def nearest(vectors: DataFrame, *, k: int = 10, least: float = -1.0, every: int
     same = cut.keep(same)
     has_copies = same.limit(1).count() > 0
     ask = 1 if has_copies else every
-    found = routed(single, cells, probes=probes, margin=margin).groupBy("cell", "part", "typeno").applyInArrow(_cell_search(k, least, ask), FOUND)
+    found = routed(single, cells, probes=probes, margin=margin, every=ask).groupBy("cell", "part", "typeno").applyInArrow(_cell_search(k, least, ask), FOUND)
     if has_copies:
         found = _with_copies(found, same, k, every)
     best = Window.partitionBy("typeno", "featno").orderBy(F.desc("cosine"), "other")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import encode, leaks, neighbours, quality
+from weftline.llm import clusters, encode, leaks, neighbours, quality
 from weftline.session import table
 
 
@@ -12,12 +12,24 @@ from weftline.session import table
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def _clusters(spark, sf_dir):
+    return clusters.clusters(table(spark, sf_dir, "vectors"), table(spark, sf_dir, "lsh_model"))
+
+
+def p1_found(spark, sf_dir):
+    return _clusters(spark, sf_dir).select("typeno", "featno", "cluster_featno")
+
+
+def p1_described(spark, sf_dir):
+    return clusters.described(_clusters(spark, sf_dir))
+
+
 def p5_found(spark, sf_dir):
     return neighbours.similar_pairs(neighbours.nearest(table(spark, sf_dir, "vectors"), least=0.8))
 
 
 def p5_topk(spark, sf_dir):
-    near = neighbours.nearest(table(spark, sf_dir, "vectors"), every=20)
+    near = neighbours.nearest(table(spark, sf_dir, "vectors"), every=20, probes=64, margin=0.6)
     return near.select("typeno", "featno", "other", "cosine", "rank")
 
 
@@ -46,7 +58,7 @@ def p8_profiles(spark, sf_dir):
     return _quality(spark, sf_dir).select("doc_id", F.round("outside", 6).alias("outside"), "profile")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_topk, p6_ids, p7_found, p8_found, p8_stats, p8_profiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_described, p5_found, p5_topk, p6_ids, p7_found, p8_found, p8_stats, p8_profiles)}
 
 ORACLE = {
     "p8_stats": r"""
