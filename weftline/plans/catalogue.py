@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import general
+from weftline.plans import general, vectors
 
-_MODULES = [general]
+_MODULES = [general, vectors]
 
 
 def queries():
