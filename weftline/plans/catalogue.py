@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import general, vectors
+from weftline.plans import general, pages, stores, vectors
 
-_MODULES = [general, vectors]
+_MODULES = [general, vectors, pages, stores]
 
 
 def queries():
