@@ -23,9 +23,9 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.option("lineSep", ";").text(path).where(F.col("value").rlike(r"[^\x01-\x20]"))
     t = F.col("value")
-    legal = rf"^(?:{_NAME}|{_SPACE}|\*|=|->)*$"
+    illegal = rf"[^{_NAME[1:-1]}{_SPACE[1:-1]}*=>\-]|-(?!>)|(?<!-)>"
     rule = rf"^{_SPACE}*\*{_SPACE}*({_NAME}*){_SPACE}*=([^*=]*)$"
-    problem = F.when(~t.rlike(legal), "illegal character").when(~t.rlike(rule), "not a declaration").when(F.regexp_extract(t, rule, 1) == "", "no name")
+    problem = F.when(t.rlike(illegal), "illegal character").when(~t.rlike(rule), "not a declaration").when(F.regexp_extract(t, rule, 1) == "", "no name")
     return raw.select(F.monotonically_increasing_id().alias("seq"), F.regexp_extract(t, rule, 1).alias("page"), F.regexp_extract(t, rule, 2).alias("body"), problem.alias("problem"))
 
 
