@@ -8,6 +8,7 @@ import os
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,7 +147,8 @@ def encode_corpus(docs: DataFrame, ranks_path: str, *, doc_id: str = "doc_id", t
     def run(batches):
         local, data, ranks = held.value
         encode = Encoder(Transducer.open(local) if local else Transducer(data), ranks, pattern)
-        for pdf in batches:
-            yield pd.DataFrame({doc_id: pdf["d"], "ids": [encode(t) for t in pdf["t"]]})
+        for batch in batches:
+            ids = pa.array([encode(t) for t in batch.column("t").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("d").cast(pa.int64()), ids], [doc_id, "ids"])
 
-    return corpus.mapInPandas(run, f"{doc_id} bigint, ids array<int>")
+    return corpus.mapInArrow(run, f"{doc_id} bigint, ids array<int>")

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +52,12 @@ class Items:
                 self.ids.append(i)
                 self.items.append(item)
         self.auto = SuffixAutomaton(self.items)
-        self.has = np.zeros((len(self.code) + 1, len(self.items)), dtype=bool)  # the last row is for other words
+        posts: list[list[int]] = [[] for _ in range(len(self.code) + 1)]  # the last one is for other words
         for no, item in enumerate(self.items):
-            self.has[item, no] = True
+            for w in set(item):
+                posts[w].append(no)
+        self.posts = [np.array(p, dtype=np.int64) for p in posts]
+        self.place = np.full(len(self.items), -1)
         self._ends: dict[int, list[tuple[int, int]]] = {}
 
     def bare(self, text: list[str]) -> list[str]:
@@ -95,11 +99,8 @@ class Items:
             for no, pos in self.ends(state):
                 seeds.setdefault(no, set()).add(end - pos)
         cand = sorted(seeds)
-        width = self.min_words + self.min_words // self.one_in
         need = self.min_words - self.min_words // self.one_in
-        sums = np.zeros((len(nums) + 1, len(cand)), dtype=np.int32)
-        np.cumsum(self.has[nums][:, cand], axis=0, out=sums[1:])
-        most = (sums[width:] - sums[:-width]).max(axis=0) if len(nums) > width else sums[-1]
+        most = self._crowded(nums, cand, self.min_words + self.min_words // self.one_in)
         out = []
         for no in (c for c, m in zip(cand, most, strict=True) if m >= need):
             span = max(self._span(nums, self.items[no], d) for d in self._bands(seeds[no]))
@@ -107,6 +108,22 @@ class Items:
                 out.append((self.ids[no], span))
         return out
 
+    def _crowded(self, nums: list[int], cand: list[int], width: int, block: int = 4096) -> np.ndarray:
+        """The most words of each candidate in a window of the text, whatever their order."""
+        self.place[cand] = np.arange(len(cand))
+        most = np.zeros(len(cand), dtype=np.int64)
+        for s in range(0, max(1, len(nums) - width), block):
+            part = nums[s : s + block + width]
+            sums = np.zeros((len(part) + 1, len(cand)), dtype=np.int32)
+            for k, w in enumerate(part, 1):
+                at = self.place[self.posts[w]]
+                sums[k, at[at >= 0]] = 1
+            np.cumsum(sums, axis=0, out=sums)
+            full = (sums[width:] - sums[:-width]).max(axis=0) if len(part) > width else sums[-1]
+            np.maximum(most, full, out=most)
+        self.place[cand] = -1
+        return most
+
     @staticmethod
     def _bands(diagonals: set[int], near: int = 4) -> list[int]:
         """One diagonal for each group of near ones."""
@@ -169,7 +186,7 @@ def leaks(
     text: str = "text",
     min_words: int = MIN_WORDS,
     one_in: int = ONE_IN,
-    block_bytes: int = 32 << 20,
+    block_bytes: int = 1 << 20,
 ) -> DataFrame:
     """Documents that hold a passage of an item: ``(doc_id, item_id, words INT)``, ``words`` being its length.
 
@@ -200,7 +217,7 @@ def leaks(
     for k in range(blocks):
         part = whole.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
         rows = sorted((r["i"], r["t"]) for r in part.collect())
-        out.append(corpus.mapInPandas(_search(spark.sparkContext.broadcast((rows, shared, min_words, one_in)), doc_id, item_id), schema))
+        out.append(corpus.mapInArrow(_search(spark.sparkContext.broadcast((rows, shared, min_words, one_in)), doc_id, item_id), schema))
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
@@ -210,8 +227,10 @@ def leaks(
 def _search(packed, doc_id: str, item_id: str):
     def run(batches):
         items = Items(*packed.value)
-        for pdf in batches:
-            hits = [(d, i, n) for d, t in zip(pdf["d"], pdf["t"], strict=True) for i, n in items.found(t)]
-            yield pd.DataFrame(hits, columns=[doc_id, item_id, "words"])
+        for batch in batches:
+            hits = [(k, i, n) for k, t in enumerate(batch.column("t").to_pylist()) for i, n in items.found(t)]
+            row, item, span = (list(c) for c in zip(*hits, strict=True)) if hits else ([], [], [])
+            ids = batch.column("d").cast(pa.int64()).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), pa.array(span, pa.int32())], [doc_id, item_id, "words"])
 
     return run
