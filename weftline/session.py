@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +14,14 @@ _FALLBACK: dict[str, str] = {}
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "weftline") -> SparkSession:
-    """A local session with the settings the tests and the bench use."""
+    """A local session with the settings the tests and the bench use.
+
+    Python workers get the package from ``PYTHONPATH``; on a cluster it is shipped with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    known = os.environ.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
