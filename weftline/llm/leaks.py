@@ -24,6 +24,19 @@ def longest_run(min_words: int = MIN_WORDS, one_in: int = ONE_IN) -> int:
     return min(-(-(n - n // one_in) // (n // one_in + 1)) for n in range(min_words, 40 * one_in))
 
 
+def longest_stretch(gains: list[tuple[int, int]]) -> int:
+    """Most words of a stretch of ``(gain, words)`` whose gains add up to 0 or more and whose ends are equal words."""
+    total, count, best = 0, 0, 0
+    lows: list[tuple[int, int]] = []  # falling totals before an equal word, and the words before them
+    for gain, n in gains:
+        if gain > 0 and (not lows or total < lows[-1][0]):
+            lows.append((total, count))
+        total, count = total + gain, count + n
+        if gain > 0:
+            best = max(best, count - next(c for t, c in lows if t <= total))
+    return best
+
+
 def sentences(text: str | None) -> list[list[str]]:
     return [w for w in (words(s) for s in _SENTENCE.split(text or "")) if w]
 
@@ -76,8 +89,14 @@ class Items:
         return out
 
     def ends(self, state: int) -> list[tuple[int, int]]:
+        """Places in items where the last :attr:`run` words of a longer match end: other items may share only these."""
         if state not in self._ends:
-            self._ends[state] = self.auto.ends(state)
+            top = state
+            while self.auto.length[self.auto.link[top]] >= self.run:
+                top = self.auto.link[top]
+            if top not in self._ends:
+                self._ends[top] = self.auto.ends(top)
+            self._ends[state] = self._ends[top]
         return self._ends[state]
 
     def found(self, text: str | None) -> list[tuple[int, int]]:
@@ -87,17 +106,13 @@ class Items:
             return []
         other = len(self.code)
         nums = [self.code.get(w, other) for w in toks]
-        runs, prev = [], (0, 0)
-        for k, (state, n) in enumerate([*self.auto.longest(nums), (0, 0)]):
-            if n <= prev[1] and prev[1] >= self.run:
-                runs.append((k - 1, prev[0]))
-            prev = (state, n)
-        if not runs:
-            return []
         seeds: dict[int, set[int]] = {}
-        for end, state in runs:
-            for no, pos in self.ends(state):
-                seeds.setdefault(no, set()).add(end - pos)
+        for k, (state, n) in enumerate(self.auto.longest(nums)):
+            if n >= self.run:
+                for no, pos in self.ends(state):
+                    seeds.setdefault(no, set()).add(k - pos)
+        if not seeds:
+            return []
         cand = sorted(seeds)
         need = self.min_words - self.min_words // self.one_in
         most = self._crowded(nums, cand, self.min_words + self.min_words // self.one_in)
@@ -134,34 +149,52 @@ class Items:
         return out
 
     def _span(self, text: list[int], item: list[int], diagonal: int, band: int = 12) -> int:
-        """Words of the item in the best passage near a diagonal, 0 if none is long enough.
+        """Words of the item in the longest passage near a diagonal.
 
-        Local alignment: an equal word gives 1, a change of an item's word costs ``one_in - 1``, an added word
-        ``one_in``, so that a score of 0 or more means at most one change in ``one_in`` words. What is left of the
-        score pays for changed words at the ends.
+        The item is aligned with the text round it by the fewest changes, with free ends; along this alignment the
+        longest stretch is taken of whose item's words at most one in ``one_in`` is changed, left out or added.
         """
-        swap, add = self.one_in - 1, self.one_in
-        n, best = len(text), 0
-        row: dict[int, tuple[int, int]] = {}  # text position -> score, words spanned
-        for i, w in enumerate(item):
-            new: dict[int, tuple[int, int]] = {}
-            lo, hi = max(0, i + diagonal - band), min(n, i + diagonal + band + 1)
-            left = (-1, 0)
-            for j in range(lo, hi):
-                s, m = row.get(j - 1, (0, 0))
-                cell = (s + 1, m + 1) if text[j] == w else (s - swap, m + 1)
-                s, m = row.get(j, (0, 0))
-                if s - swap > cell[0]:
-                    cell = (s - swap, m + 1)
-                if left[0] - add > cell[0]:
-                    cell = (left[0] - add, left[1])
-                if cell[0] < 0:
-                    left = (-1, 0)
-                    continue
-                new[j] = left = cell
-                best = max(best, cell[1] + min(cell[0] // swap, len(item) - cell[1]))
+        n, m, width = len(text), len(item), 2 * band + 1
+        lo = diagonal - band  # row i covers the text from i + lo to i + lo + width - 1
+        far = 1 << 20
+        # words of the item that would lie beyond the text's ends, further than the band, take no part
+        begin, m = max(0, band - diagonal - width + 2), min(m, n - diagonal + band - 1)
+        row = [0 if 0 <= begin + lo + c <= n else far for c in range(width)]
+        steps = []
+        for i in range(begin + 1, m + 1):
+            word, new, how = item[i - 1], [far] * width, bytearray(width)
+            first = i + lo
+            left = far
+            for c in range(max(0, -first), min(width, n - first + 1)):
+                j = first + c
+                cost, step = far, 0
+                if j:
+                    cost = row[c] + (text[j - 1] != word)
+                    step = 1
+                if c + 1 < width and row[c + 1] + 1 < cost:
+                    cost, step = row[c + 1] + 1, 2  # the item's word is left out
+                if left + 1 < cost:
+                    cost, step = left + 1, 3  # the text has a word more
+                new[c] = left = cost
+                how[c] = step
+            steps.append(how)
             row = new
-        return best
+        c, i = min(range(width), key=row.__getitem__), m
+        if row[c] >= far:
+            return 0
+        gains = []
+        while i > begin:
+            step = steps[i - 1 - begin][c]
+            if step == 1:
+                gains.append((1 if text[i + lo + c - 1] == item[i - 1] else 1 - self.one_in, 1))
+                i -= 1
+            elif step == 2:
+                gains.append((1 - self.one_in, 1))
+                i, c = i - 1, c + 1
+            else:
+                gains.append((-self.one_in, 0))
+                c -= 1
+        return longest_stretch(gains)
 
 
 def shared_sentences(items: DataFrame, text: str) -> set[tuple[str, ...]]:
@@ -195,8 +228,8 @@ def leaks(
     both sides; instruction sentences are taken out of both.
 
     Method. Each document is streamed once through a generalised suffix automaton of the items; the longest
-    matching lengths give the unchanged runs, of which any passage must hold one of :func:`longest_run` words. The
-    items in which such a run ends are candidates; those without a window of enough of their words fall away, and
+    matching lengths give the unchanged runs, of which any passage must hold one of :func:`longest_run` words. All
+    items in which such a run ends, also as the end of a longer match with another item, are candidates; those without a window of enough of their words fall away, and
     an alignment along the run's diagonal decides. No candidate is dropped by a cap.
 
     Plan. The corpus isn't shuffled: items are broadcast in blocks of at most ``block_bytes`` of text, one pass over
