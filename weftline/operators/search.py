@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,26 +173,30 @@ def reranked(vectors: DataFrame, queries: DataFrame, *, bits: int, k: int, min_s
     return _top(exact.where(F.col("weight") > min_sim), k, F.desc("weight"), F.desc("featno"))
 
 
+#: Vectors and queries of a tile of the brute-force search.
+TILE_VECTORS, TILE_QUERIES = 8192, 2048
+
+
 def exact_topk(vectors: DataFrame, queries: DataFrame, *, k: int) -> DataFrame:
     """The ``k`` most similar vectors of each query by brute force: ``(query_id, typeno, featno, cosine, rank)``.
 
-    Cosines have 6 digits; ties go to the smaller ``featno``. Queries are broadcast in blocks, each Arrow batch of
-    vectors is multiplied with the block's matrix, and only a batch's best rows for each query leave it.
+    Cosines have 6 digits; ties go to the smaller ``featno``. The vectors and the queries of a type are cut into
+    blocks by hash; each pair of blocks is one matrix product in one task, of which only a query's best rows go on.
+    A type's size sets its number of blocks, so that tiles stay small whatever it holds.
     """
-    n = queries.count()
-    size = BLOCK // 4
-    blocks = max(1, -(-n // size))
-    schema = "query_id bigint, typeno int, featno int, cosine double"
-    out = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "typeno", "vec").collect()
-        by: dict[int, list] = {}
-        for r in rows:
-            by.setdefault(r["typeno"], []).append((r["query_id"], r["vec"]))
-        packed = queries.sparkSession.sparkContext.broadcast({t: (np.array([i for i, _ in q]), _unit(np.array([v for _, v in q], dtype=np.float64))) for t, q in by.items()})
-        found = vectors.select("typeno", "featno", "vec").mapInPandas(_exact_block(packed, k), schema)
-        out = found if out is None else out.unionByName(found)
-    return _top(out, k, F.desc("cosine"), "featno")
+    v_blocks = _blocks(vectors, TILE_VECTORS, "vb")
+    q_blocks = _blocks(queries, TILE_QUERIES, "qb")
+    v = vectors.select("typeno", "featno", "vec").join(F.broadcast(v_blocks), "typeno").join(F.broadcast(q_blocks), "typeno")
+    v = v.select("typeno", "featno", "vec", F.pmod(F.xxhash64("featno"), F.col("vb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("j"))
+    q = queries.select("typeno", "query_id", "vec").join(F.broadcast(v_blocks), "typeno").join(F.broadcast(q_blocks), "typeno")
+    q = q.select(F.col("typeno").alias("q_type"), F.col("query_id").alias("q_id"), F.col("vec").alias("q_vec"), F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("q_i"), F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int").alias("q_j"))
+    found = v.groupBy("typeno", "i", "j").cogroup(q.groupBy("q_type", "q_i", "q_j")).applyInArrow(_tile(k), "query_id bigint, typeno int, featno int, cosine double")
+    return _top(found, k, F.desc("cosine"), "featno")
+
+
+def _blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+    """Blocks of each type: one row for each type, small enough to broadcast as types are a dimension."""
+    return df.groupBy("typeno").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias(name))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -200,23 +204,33 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _exact_block(packed, k: int):
-    def run(batches):
-        for pdf in batches:
-            for t, rows in pdf.groupby("typeno"):
-                if int(t) not in packed.value:
-                    continue
-                ids, q = packed.value[int(t)]
-                feat = rows["featno"].to_numpy()
-                x = _unit(np.stack([np.asarray(v, dtype=np.float64) for v in rows["vec"]]))
-                for s in range(0, len(q), 512):
-                    cos = np.round(q[s : s + 512] @ x.T, 6)
-                    if len(feat) > k:
-                        floor = np.partition(cos, -k, axis=1)[:, -k]
-                        row, col = np.nonzero(cos >= floor[:, None])
-                    else:
-                        row, col = np.divmod(np.arange(cos.size), len(feat))
-                    yield pd.DataFrame({"query_id": ids[s + row], "typeno": int(t), "featno": feat[col], "cosine": cos[row, col]})
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return _unit(np.asarray(column.combine_chunks().flatten(), dtype=np.float64).reshape(len(column), -1))
+
+
+def _tile(k: int):
+    schema = pa.schema([("query_id", pa.int64()), ("typeno", pa.int32()), ("featno", pa.int32()), ("cosine", pa.float64())])
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        if not vectors.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        feat, ids = np.asarray(vectors["featno"]), np.asarray(queries["q_id"])
+        x, y = _matrix(vectors["vec"]), _matrix(queries["q_vec"])
+        out = []
+        for s in range(0, len(y), 256):
+            cos = np.round(y[s : s + 256] @ x.T, 6)
+            if len(feat) > k:
+                row, col = np.nonzero(cos >= np.partition(cos, -k, axis=1)[:, -k, None])
+            else:
+                row, col = np.divmod(np.arange(cos.size), len(feat))
+            got = cos[row, col]
+            order = np.lexsort((feat[col], -got, row))
+            row, col, got = row[order], col[order], got[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append((ids[s + row[best]], feat[col[best]], got[best]))
+        q, f, c = (np.concatenate(p) for p in zip(*out, strict=True))
+        typ = np.full(len(q), vectors["typeno"][0].as_py(), np.int32)
+        return pa.table([pa.array(q), pa.array(typ), pa.array(f.astype(np.int32)), pa.array(c)], schema=schema)
 
     return run
 
