@@ -16,6 +16,9 @@ from weftline.session import spread
 
 #: Words of an item that a passage must span, and the share of them that may differ (one in so many).
 MIN_WORDS, ONE_IN = 18, 8
+#: Places by which words of a passage may be shifted against its longest unchanged run, by words left out or added.
+#: A longer passage with more of them holds a shorter one with fewer.
+DRIFT = 6
 _SENTENCE = re.compile(r"(?<=[.?!…。？！])[\s\"'”’»“„)]*\s+|\n+")
 
 
@@ -71,6 +74,7 @@ class Items:
                 posts[w].append(no)
         self.posts = [np.array(p, dtype=np.int64) for p in posts]
         self.place = np.full(len(self.items), -1)
+        self.longest = max(map(len, self.items), default=0)
         self._ends: dict[int, list[tuple[int, int]]] = {}
 
     def bare(self, text: list[str]) -> list[str]:
@@ -116,9 +120,12 @@ class Items:
         cand = sorted(seeds)
         need = self.min_words - self.min_words // self.one_in
         most = self._crowded(nums, cand, self.min_words + self.min_words // self.one_in)
+        edge = np.full(self.longest + DRIFT, -1)
+        wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, nums, edge]), 2 * DRIFT + 1)
         out = []
         for no in (c for c, m in zip(cand, most, strict=True) if m >= need):
-            span = max(self._span(nums, self.items[no], d) for d in self._bands(seeds[no]))
+            near = [d for d in self._bands(seeds[no]) if self._reach(wide, self.items[no], d) >= self.min_words]
+            span = max((self._span(nums, self.items[no], d) for d in near), default=0)
             if span >= self.min_words:
                 out.append((self.ids[no], span))
         return out
@@ -139,6 +146,14 @@ class Items:
         self.place[cand] = -1
         return most
 
+    def _reach(self, wide: np.ndarray, item: list[int], diagonal: int) -> int:
+        """An upper bound of :meth:`_span`: each word of the item may stand up to ``DRIFT`` places off its own."""
+        at = diagonal + self.longest
+        hit = (wide[at : at + len(item)] == np.array(item)[:, None]).any(axis=1)
+        if hit.sum() < self.min_words - self.min_words // self.one_in:
+            return 0
+        return longest_stretch([(1, 1) if h else (1 - self.one_in, 1) for h in hit.tolist()])
+
     @staticmethod
     def _bands(diagonals: set[int], near: int = 4) -> list[int]:
         """One diagonal for each group of near ones."""
