@@ -33,29 +33,47 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _walk(cut: Cut, state: DataFrame, paths: bool) -> tuple[DataFrame, list[DataFrame]]:
-    """Doubles the pointers of unfinished rows until each is finished or known to end in a ring.
+#: Pointers followed in a round: a walk grows by one more than this many times.
+JUMPS = 3
+
+
+def _walk(cut: Cut, state: DataFrame, paths: bool) -> DataFrame:
+    """Follows the pointers of unfinished rows until each is finished or known to end in a ring.
 
     ``state`` is ``(page, ptr, dist, done[, seg])``; a row is done if its pointer is a terminal. Returns the finished
-    and unfinished parts as one table with ``ring``, and the written parts.
+    and unfinished rows with ``ring``.
 
-    After round r an unfinished row has walked 2**r steps without meeting a terminal. Were it not bound for a ring,
-    at least 2**(r-1) rows would have been unfinished a round before; fewer of them mean that all are.
+    A round follows :data:`JUMPS` pointers, each as long as the walks of the round before, so that walks grow
+    fourfold. An unfinished row has walked ``steps`` steps without meeting a terminal. Were it not bound for a ring,
+    at least half as many rows would have been unfinished a round before; fewer of them mean that all are.
     """
-    kept = [cut.keep(state)]
-    done, active = [kept[0].where("done")], kept[0].where(~F.col("done"))
+    kept = cut.keep(state)
+    done, active = [kept.where("done")], kept.where(~F.col("done"))
     steps, n = 1, active.count()
     while n:
-        known = _union([*done, active]).select(F.col("page").alias("at"), F.col("ptr").alias("to"), F.col("dist").alias("more"), F.col("done").alias("end"), *([F.col("seg").alias("then")] if paths else []))
-        seg = [F.concat("seg", "then").alias("seg")] if paths else []
-        moved = cut.keep(active.join(known, F.col("ptr") == F.col("at")).select("page", F.col("to").alias("ptr"), (F.col("dist") + F.col("more")).alias("dist"), F.col("end").alias("done"), *seg))
-        kept.append(moved)
-        done.append(moved.where("done"))
-        active = moved.where(~F.col("done"))
-        before, n, steps = n, active.count(), steps * 2
+        names = ["ptr", "dist", "done", *(["seg"] if paths else [])]
+        known = _union([*done, active]).select(F.col("page").alias("at"), *[F.col(c).alias(f"n_{c}") for c in names])
+        moved = active
+        for _ in range(JUMPS):
+            # finished rows wait under a key of their own, which spreads them and matches nothing
+            key = F.when(F.col("done"), F.concat(F.lit("\0"), "page")).otherwise(F.col("ptr"))
+            joined = moved.withColumn("key", key).join(known, F.col("key") == F.col("at"), "left")
+            on = ~F.col("done") & F.col("at").isNotNull()
+            moved = joined.select(
+                "page",
+                F.when(on, F.col("n_ptr")).otherwise(F.col("ptr")).alias("ptr"),
+                F.when(on, F.col("dist") + F.col("n_dist")).otherwise(F.col("dist")).alias("dist"),
+                # a pointer to a row that was left out before is bound for a ring; it is left out as well
+                F.when(on, F.col("n_done")).when(F.col("done"), True).alias("done"),
+                *([F.when(on, F.concat("seg", "n_seg")).otherwise(F.col("seg")).alias("seg")] if paths else []),
+            ).where(F.col("done").isNotNull())
+        kept = cut.keep(moved)
+        done.append(kept.where("done"))
+        active = kept.where(~F.col("done"))
+        before, n, steps = n, active.count(), steps * (JUMPS + 1)
         if n and before < steps // 2:
             break
-    return _union([*(d.withColumn("ring", F.lit(False)) for d in done), active.withColumn("ring", F.lit(True))]), kept
+    return _union([*(d.withColumn("ring", F.lit(False)) for d in done), active.withColumn("ring", F.lit(True))])
 
 
 def resolve(edges: DataFrame, *, paths: bool = False, split: int = SPLIT) -> DataFrame:
@@ -65,61 +83,44 @@ def resolve(edges: DataFrame, *, paths: bool = False, split: int = SPLIT) -> Dat
     to it, ``path`` the pages from the page to its root, both included. Pages on a ring or leading into one have
     the root ``''``, depth -1 and a null path. An empty table gives an empty result.
 
-    Method. A hash chooses splitters. Every page walks to the next splitter or root; pointers are doubled, and only
-    rows that haven't arrived are moved, a share that falls with each round. The splitters alone, one page in
+    Method. A hash chooses splitters. Every page walks to the next splitter or root; walks grow fourfold in a round,
+    and only rows that haven't arrived are moved, a share that falls with each round. The splitters alone, one page in
     ``split``, form the reduced graph, which is solved in the same way with roots as terminals; then each page takes
     root, depth and path from its splitter. Rings without splitter are what the first walk can't finish, rings with
     splitters what the second can't. Rounds grow with the logarithm of the longest walk.
     """
     cut = Cut(edges.sparkSession, "walk")
-    e = cut.keep(edges.select("page", "ptr"))
-    if paths:  # rings are set aside first, so that no path is carried round them
-        plainly = cut.keep(resolve(e, split=split))
-        rings = plainly.where(F.col("depth") < 0).withColumn("path", F.lit(None).cast("array<string>"))
-        inner = e.join(plainly.where(F.col("depth") > 0).select("page"), "page", "left_semi")
-        return _union([_resolve(cut, cut.keep(inner), True, split), rings])
-    return _resolve(cut, e, False, split)
-
-
-def _resolve(cut: Cut, e: DataFrame, paths: bool, split: int) -> DataFrame:
+    seg = ["seg"] if paths else []
+    e = edges.select("page", "ptr")
     pages = e.select(F.col("page").alias("at"), F.lit(True).alias("inner"))
     # a page without edge is a root; hot roots stand on the larger side, which AQE may split
-    linked = e.join(pages, F.col("ptr") == F.col("at"), "left").withColumn("is_root", F.col("inner").isNull())
-    seg = [F.array("ptr").alias("seg")] if paths else []
-    first = cut.keep(linked.select("page", "ptr", F.lit(1).alias("dist"), "is_root", (F.col("is_root") | is_splitter(F.col("ptr"), split)).alias("done"), *seg))
-    roots = first.where("is_root").select(F.col("ptr").alias("root_page")).distinct()
-
-    near, parts = _walk(cut, first.drop("is_root"), paths)
-    # the reduced graph: splitters with an edge; those whose walk found no terminal are bound for a ring
-    rooted = near.join(roots, F.col("ptr") == F.col("root_page"), "left").withColumn("at_root", F.col("root_page").isNotNull()).drop("root_page")
-    near = cut.keep(rooted)
+    linked = e.join(pages, F.col("ptr") == F.col("at"), "left").withColumn("at_root", F.col("inner").isNull())
+    first = cut.keep(linked.select("page", "ptr", F.lit(1).alias("dist"), "at_root", (F.col("at_root") | is_splitter(F.col("ptr"), split)).alias("done"), *([F.array("ptr").alias("seg")] if paths else [])))
+    roots = first.where("at_root").select(F.col("ptr").alias("root_page")).distinct()
+    near = _walk(cut, first.drop("at_root"), paths)
+    near = cut.keep(near.join(roots, F.col("ptr") == F.col("root_page"), "left").withColumn("at_root", F.col("root_page").isNotNull()).drop("root_page"))
+
+    # the reduced graph: splitters with an edge, without those that found no terminal or point to such
     own = near.where(is_splitter(F.col("page"), split))
-    lost = own.where("ring").select("page")
-    start = own.where(~F.col("ring")).join(lost.withColumnRenamed("page", "lost_page"), F.col("ptr") == F.col("lost_page"), "left_anti")
-    far, more = _walk_reduced(cut, start, lost, paths)
+    lost = own.where("ring").select(F.col("page").alias("lost_page"))
+    start = own.where(~F.col("ring")).join(lost, F.col("ptr") == F.col("lost_page"), "left_anti").withColumn("done", F.col("at_root"))
+    far = _walk(cut, start.select("page", "ptr", "dist", "done"), False).where(~F.col("ring"))
+    if paths:  # rings are set aside first, so that no path is carried round them
+        sound = far.select("page")
+        far = _walk(cut, start.join(sound, "page", "left_semi").select("page", "ptr", "dist", "done", "seg"), True)
+    solved = far.select(F.col("page").alias("at"), F.col("ptr").alias("root"), F.col("dist").alias("more"), *[F.col(c).alias("then") for c in seg])
 
-    solved = far.select(F.col("page").alias("at"), F.col("ptr").alias("root"), F.col("dist").alias("more"), *([F.col("seg").alias("then")] if paths else []))
-    plain = ~F.col("ring")
+    plain, no_path = ~F.col("ring"), F.lit(None).cast("array<string>").alias("path")
+    direct = near.where(plain & F.col("at_root")).select("page", F.col("ptr").alias("root"), F.col("dist").alias("depth"), *[F.concat(F.array("page"), c).alias("path") for c in seg])
     via = near.where(plain & ~F.col("at_root")).join(solved, F.col("ptr") == F.col("at"), "left")
-    no_path = F.lit(None).cast("array<string>")
-    out = [
-        near.where(plain & F.col("at_root")).select("page", F.col("ptr").alias("root"), F.col("dist").alias("depth"), *([F.concat(F.array("page"), "seg").alias("path")] if paths else [])),
-        via.select(
-            "page",
-            F.coalesce("root", F.lit("")).alias("root"),
-            F.when(F.col("root").isNull(), F.lit(-1)).otherwise(F.col("dist") + F.col("more")).alias("depth"),
-            *([F.when(F.col("root").isNotNull(), F.concat(F.array("page"), "seg", "then")).alias("path")] if paths else []),
-        ),
-        near.where("ring").select("page", F.lit("").alias("root"), F.lit(-1).alias("depth"), *([no_path.alias("path")] if paths else [])),
-    ]
-    return _union(out)
-
-
-def _walk_reduced(cut: Cut, start: DataFrame, lost: DataFrame, paths: bool) -> tuple[DataFrame, list[DataFrame]]:
-    """The splitters' walk to their roots; pointers to splitters bound for a ring stay unfinished and are dropped."""
-    cols = ["page", "ptr", "dist", F.col("at_root").alias("done"), *(["seg"] if paths else [])]
-    far, kept = _walk(cut, start.select(*cols), paths)
-    return far.where(~F.col("ring")), kept
+    via = via.select(
+        "page",
+        F.coalesce("root", F.lit("")).alias("root"),
+        F.when(F.col("root").isNull(), F.lit(-1)).otherwise(F.col("dist") + F.col("more")).alias("depth"),
+        *[F.when(F.col("root").isNotNull(), F.concat(F.array("page"), c, "then")).alias("path") for c in seg],
+    )
+    rings = near.where("ring").select("page", F.lit("").alias("root"), F.lit(-1).alias("depth"), *[no_path for _ in seg])
+    return _union([direct, via, rings])
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
