@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,12 +54,14 @@ def pagerank(edges: DataFrame, pages: DataFrame, *, iterations: int = ITERATIONS
     """``(page, weight)`` after a fixed number of rounds, from equal weights.
 
     A page passes its weight on in proportion to the counts of its links. What a page without links holds isn't
-    passed on, so that the sum of weights falls. Pages are numbered densely; a round joins the weights with the edges
-    by source and sums by target, with partial sums before the shuffle, so that a page with very many links in is no
-    hot spot. Every few rounds the weights are written to the shared folder. An empty graph gives an empty result.
+    passed on, so that the sum of weights falls. Pages are numbered densely. The edges lie partitioned by source; a
+    round joins the weights with them where they lie and sums by target, with partial sums before the only shuffle,
+    so that a page with very many links in is no hot spot. Every few rounds the weights are written to the shared
+    folder; what an executor held of the edges is read again from there. An empty graph gives an empty result.
     """
     spark = edges.sparkSession
     cut = Cut(spark, "rank")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = cut.keep(dense_numbers(cut, pages.select("page").distinct(), "page", [], 0, "id"))
     n = ids.count()
     if not n:
@@ -66,20 +69,26 @@ def pagerank(edges: DataFrame, pages: DataFrame, *, iterations: int = ITERATIONS
     out = edges.groupBy("src").agg(F.sum("cnt").alias("total"))
     shares = edges.join(out, "src").select("src", "dst", (F.col("cnt") / F.col("total")).alias("share"))
     named = shares.join(ids.select(F.col("page").alias("src"), F.col("id").alias("s")), "src").join(ids.select(F.col("page").alias("dst"), F.col("id").alias("d")), "dst")
-    graph = cut.keep(named.select("s", "d", "share"))
+    graph = cut.keep(named.select("s", "d", "share")).repartition(parts, "s").persist(StorageLevel.MEMORY_AND_DISK)
     rest = (1.0 - damping) / n
-    base = ids.select("id", F.lit(0.0).alias("got"))
-    rank = ids.select("id", F.lit(1.0 / n).alias("weight"))
+    by_id = ids.select("id").repartition(parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
+    graph.count(), by_id.count()  # their partitioning counts in later plans only once they are there
+    base = by_id.select("id", F.lit(0.0).alias("got"))
+    rank = by_id.select("id", F.lit(1.0 / n).alias("weight"))
     held = None
     for i in range(1, iterations + 1):
-        sent = graph.join(rank, F.col("s") == F.col("id")).select(F.col("d").alias("id"), (F.col("weight") * F.col("share")).alias("got"))
+        # both sides lie partitioned by the page: no exchange but that of the sums
+        sent = graph.join(rank.hint("shuffle_hash"), F.col("s") == F.col("id")).select(F.col("d").alias("id"), (F.col("weight") * F.col("share")).alias("got"))
         rank = sent.unionByName(base).groupBy("id").agg((F.sum("got") * damping + rest).alias("weight"))
         if i % cut_every == 0 and i < iterations:
             rank, old = cut.keep(rank), held
             if old is not None:
                 cut.drop(old)
             held = rank
-    return rank.join(ids, "id").select("page", "weight")
+    out = cut.keep(rank.join(ids, "id").select("page", "weight"))
+    graph.unpersist()
+    by_id.unpersist()
+    return out
 
 
 def log_scaled(weights: DataFrame) -> DataFrame:
