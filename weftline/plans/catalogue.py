@@ -16,4 +16,4 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    return queries()["p4_found"](spark, sf_dir)
+    return queries()["cosine_topk"](spark, sf_dir)
