@@ -151,7 +151,7 @@ def scales():
 
 NATURAL = {
     "plain": PROSE, "upper": PROSE.upper(), "no stops": PROSE.lower().replace(".", "").replace(",", ""), "one word a line": PROSE.replace(" ", "\n"), "wrapped": PROSE.replace(" the", "\nthe"), "quoted": "> " + PROSE.replace(" and", "\n> and"),
-    "cut": PROSE[:40], "wide gaps": PROSE.replace(" ", "   "), "tabs": PROSE.replace(" ", "\t"), "japanese": "道が10日間ケフドン器とともに冬を運ぶことを私たちは知っている。山は静かだった。",
+    "cut": PROSE[:40], "picture": "The road was on the hill. 👍🏽", "address": "She had seen that road. https://veguvon.example/devevor", "the twice": "The kitchen opens the mountain along the northern\nline.", "wide gaps": PROSE.replace(" ", "   "), "tabs": PROSE.replace(" ", "\t"), "japanese": "道が10日間ケフドン器とともに冬を運ぶことを私たちは知っている。山は静かだった。",
 }
 JUNK = {
     "list": "- house\n- hill\n- light (12)\n- day", "numbered": "1. house\n2. hill\n3. light\n4. day", "comma list": ", ".join(["house", "hill", "light", "day", "river", "road", "tower"] * 3), "csv": "house,12,hill\nriver,8.5,road\nday,77,tower",
