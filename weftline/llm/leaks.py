@@ -19,6 +19,7 @@ MIN_WORDS, ONE_IN = 18, 8
 #: Places by which words of a passage may be shifted against its longest unchanged run, by words left out or added.
 #: A longer passage with more of them holds a shorter one with fewer.
 DRIFT = 6
+_ZERO = 1 << 31
 _SENTENCE = re.compile(r"(?<=[.?!…。？！])[\s\"'”’»“„)]*\s+|\n+")
 
 
@@ -75,7 +76,7 @@ class Items:
         self.posts = [np.array(p, dtype=np.int64) for p in posts]
         self.place = np.full(len(self.items), -1)
         self.longest = max(map(len, self.items), default=0)
-        self._ends: dict[int, list[tuple[int, int]]] = {}
+        self._ends: dict[int, np.ndarray] = {}
 
     def bare(self, text: list[str]) -> list[str]:
         """The words without whole instructions."""
@@ -92,14 +93,17 @@ class Items:
                 k += 1
         return out
 
-    def ends(self, state: int) -> list[tuple[int, int]]:
-        """Places in items where the last :attr:`run` words of a longer match end: other items may share only these."""
+    def ends(self, state: int) -> np.ndarray:
+        """Places in items where the last :attr:`run` words of a longer match end: other items may share only these.
+
+        As numbers to which the text's position is added: the item, and beside it the diagonal.
+        """
         if state not in self._ends:
             top = state
             while self.auto.length[self.auto.link[top]] >= self.run:
                 top = self.auto.link[top]
             if top not in self._ends:
-                self._ends[top] = self.auto.ends(top)
+                self._ends[top] = np.array([(no << 32) + _ZERO - pos for no, pos in self.auto.ends(top)], dtype=np.int64)
             self._ends[state] = self._ends[top]
         return self._ends[state]
 
@@ -110,27 +114,27 @@ class Items:
             return []
         other = len(self.code)
         nums = [self.code.get(w, other) for w in toks]
-        seeds: dict[int, set[int]] = {}
-        for k, (state, n) in enumerate(self.auto.longest(nums)):
-            if n >= self.run:
-                for no, pos in self.ends(state):
-                    seeds.setdefault(no, set()).add(k - pos)
-        if not seeds:
+        runs = [self.ends(state) + k for k, (state, n) in enumerate(self.auto.longest(nums)) if n >= self.run]
+        if not runs:
             return []
-        cand = sorted(seeds)
+        seeds = np.unique(np.concatenate(runs))
+        of, diagonals = seeds >> 32, (seeds & 0xFFFFFFFF) - _ZERO
+        cand, start = np.unique(of, return_index=True)
         need = self.min_words - self.min_words // self.one_in
         most = self._crowded(nums, cand, self.min_words + self.min_words // self.one_in)
         edge = np.full(self.longest + DRIFT, -1)
         wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, nums, edge]), 2 * DRIFT + 1)
         out = []
-        for no in (c for c, m in zip(cand, most, strict=True) if m >= need):
-            near = [d for d in self._bands(seeds[no]) if self._reach(wide, self.items[no], d) >= self.min_words]
+        for c in np.flatnonzero(most >= need):
+            no = int(cand[c])
+            own = diagonals[start[c] : start[c + 1] if c + 1 < len(cand) else None]
+            near = [d for d in self._bands(own.tolist()) if self._reach(wide, self.items[no], d) >= self.min_words]
             span = max((self._span(nums, self.items[no], d) for d in near), default=0)
             if span >= self.min_words:
                 out.append((self.ids[no], span))
         return out
 
-    def _crowded(self, nums: list[int], cand: list[int], width: int, block: int = 4096) -> np.ndarray:
+    def _crowded(self, nums: list[int], cand: np.ndarray, width: int, block: int = 4096) -> np.ndarray:
         """The most words of each candidate in a window of the text, whatever their order."""
         self.place[cand] = np.arange(len(cand))
         most = np.zeros(len(cand), dtype=np.int64)
@@ -155,10 +159,10 @@ class Items:
         return longest_stretch([(1, 1) if h else (1 - self.one_in, 1) for h in hit.tolist()])
 
     @staticmethod
-    def _bands(diagonals: set[int], near: int = 4) -> list[int]:
-        """One diagonal for each group of near ones."""
+    def _bands(diagonals: list[int], near: int = 4) -> list[int]:
+        """One diagonal for each group of near ones, of ascending ones."""
         out: list[int] = []
-        for d in sorted(diagonals):
+        for d in diagonals:
             if not out or d - out[-1] > near:
                 out.append(d)
         return out
