@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.llm import clusters, encode, leaks, neighbours, quality
+from weftline.plans.vectors import _CUR
 from weftline.session import table
 
 
@@ -60,7 +61,18 @@ def p8_profiles(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_described, p5_found, p5_topk, p6_ids, p7_found, p8_found, p8_stats, p8_profiles)}
 
+_NEAR = (
+    _CUR.strip()
+    + """,
+n AS (SELECT a.typeno, a.featno, b.featno AS other, round(list_cosine_similarity(a.vec, b.vec), 6) AS cosine FROM cur a JOIN cur b ON a.typeno = b.typeno AND a.featno <> b.featno),
+r AS (SELECT *, row_number() OVER (PARTITION BY typeno, featno ORDER BY cosine DESC, other) AS rank FROM n)
+"""
+)
+
+# exact searches: the approximate operators give the same rows on the small tables
 ORACLE = {
+    "p5_found": _NEAR + "SELECT DISTINCT typeno, least(featno, other) AS featno_a, greatest(featno, other) AS featno_b FROM r WHERE rank <= 10 AND cosine >= 0.8",
+    "p5_topk": _NEAR + "SELECT typeno, featno, other, cosine, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10 AND featno % 20 = 0",
     "p8_stats": r"""
 WITH cw AS (SELECT DISTINCT lower(word) AS w FROM common_words WHERE word IS NOT NULL),
 d AS (SELECT row_number() OVER () AS k, doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}]+') AS ws,
