@@ -71,6 +71,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY typeno, featno ORDER BY cosine D
 
 # exact searches: the approximate operators give the same rows on the small tables
 ORACLE = {
+    "p1_found": _NEAR + "SELECT typeno, featno, least(featno, min(other)) AS cluster_featno FROM n WHERE cosine >= 0.8 GROUP BY typeno, featno",
     "p5_found": _NEAR + "SELECT DISTINCT typeno, least(featno, other) AS featno_a, greatest(featno, other) AS featno_b FROM r WHERE rank <= 10 AND cosine >= 0.8",
     "p5_topk": _NEAR + "SELECT typeno, featno, other, cosine, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10 AND featno % 20 = 0",
     "p8_stats": r"""
