@@ -177,3 +177,17 @@ def test_connected_components(spark):
     got = {r.node: r.comp for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**dict.fromkeys(range(1, 61), 1), 100: 100, 101: 100, 102: 100, 200: 200, 500: 200}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+@pytest.mark.parametrize("block", [1 << 15, 700])
+def test_one_dense_group_over_many_cells(spark, monkeypatch, block):
+    """A group of similar vectors in far more cells than a query visits, in one block and in several."""
+    rows = groups(9, [1500, 4], types=(1,), alone=300, spread=0.2)
+    fit = N.fit_cells
+    monkeypatch.setattr(N, "fit_cells", lambda df, **kw: fit(df, cell=30))
+    monkeypatch.setattr(N, "BLOCK", block, raising=False)
+    want = {k: v for k, v in brute_nearest(rows, 10, 0.8).items() if v}
+    got = {}
+    for r in N.nearest(frame(spark, rows), least=0.8).collect():
+        got.setdefault((r.typeno, r.featno), {})[r.rank] = r.other
+    assert {k: [d[i] for i in sorted(d)] for k, d in got.items()} == want

@@ -1,4 +1,4 @@
-"""The most similar vectors of every vector, by randomly rotated one-bit codes."""
+"""The most similar vectors of every vector: randomly rotated one-bit codes, and an exact pass over what they leave."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ WIDTH = 1.9
 #: Bits of a query's components.
 QUERY_BITS = 4
 _TILE = 1 << 19
+#: Vectors of a type in a block of the exact pass, and more than single precision can move a cosine there.
+BLOCK, SLACK = 1 << 15, 2e-5
 
 
 def rotation(dim: int = DIM, seed: int = 20_24) -> np.ndarray:
@@ -87,22 +89,53 @@ class Codes:
             row, col = np.nonzero(maybe)
             if not len(row):
                 continue
-            cos = np.empty(len(row))
-            for a in range(0, len(row), _TILE):
-                cos[a : a + _TILE] = np.einsum("ij,ij->i", q[s + row[a : a + _TILE]], self.unit[col[a : a + _TILE]])
-            cos = np.round(cos, 6)
-            good = cos >= least
-            row, col, cos = row[good], col[good], cos[good]
-            order = np.lexsort((ids[col], -cos, row))
-            row, col, cos = row[order], col[order], cos[order]
-            start = np.searchsorted(row, row)
-            top = np.arange(len(row)) - start < k
-            out.append((s + row[top], col[top], cos[top]))
+            row, col, cos = _ranked(q[s : s + block], self.unit, ids, row, col, k, least)
+            out.append((s + row, col, cos))
         if not out:
             return np.empty(0, int), np.empty(0, int), np.empty(0)
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def _ranked(q: np.ndarray, unit: np.ndarray, ids: np.ndarray, row: np.ndarray, col: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs ``(row, col)`` the ``k`` best of each row, by exact cosines."""
+    cos = np.empty(len(row))
+    for a in range(0, len(row), _TILE >> 2):
+        part = slice(a, a + (_TILE >> 2))
+        cos[part] = np.einsum("ij,ij->i", q[row[part]], unit[col[part]])
+    cos = np.round(cos, 6)
+    good = cos >= least
+    row, col, cos = row[good], col[good], cos[good]
+    order = np.lexsort((ids[col], -cos, row))
+    row, col, cos = row[order], col[order], cos[order]
+    top = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[top], col[top], cos[top]
+
+
+def exact_search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, unit: np.ndarray, ids: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :meth:`Codes.search`, of all vectors: ``floor`` is a cosine that the ``k``-th best of each query reaches.
+
+    ``ids`` ascend. Products in single precision choose what is ranked: all that reach ``floor`` within ``SLACK``.
+    """
+    x, y = q.astype(np.float32), unit.astype(np.float32)
+    limit = (np.maximum(floor, least) - SLACK).astype(np.float32)
+    itself = np.searchsorted(ids, q_ids)
+    known = ids[np.minimum(itself, len(ids) - 1)] == q_ids if len(ids) else np.zeros(len(q), dtype=bool)
+    out = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+    block = max(1, 4 * _TILE // max(1, len(ids)))
+    for s in range(0, len(q) if len(ids) else 0, block):
+        sims = x[s : s + block] @ y.T
+        own = np.flatnonzero(known[s : s + block])
+        sims[own, itself[s + own]] = -9
+        maybe = sims >= limit[s : s + block, None]
+        many = np.flatnonzero(np.count_nonzero(maybe, axis=1) > 8 * k)
+        if len(many) and len(ids) > k:
+            maybe[many] &= sims[many] >= np.partition(sims[many], -k, axis=1)[:, -k, None] - np.float32(SLACK)
+        row, col = np.nonzero(maybe)
+        row, col, cos = _ranked(q[s : s + block], unit, ids, row, col, k, least)
+        out.append((s + row, col, cos))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _pack(bits: np.ndarray) -> np.ndarray:
     pad = -bits.shape[1] % 64
     if pad:
@@ -132,6 +165,60 @@ def _cell_search(k: int, least: float, every: int):
     return run
 
 
+def _block_search(k: int, least: float, every: int):
+    schema = pa.schema([("typeno", pa.int32()), ("featno", pa.int32()), ("other", pa.int32()), ("cosine", pa.float64())])
+
+    def run(table: pa.Table, floors: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return schema.empty_table()
+        feat = np.asarray(table["featno"])
+        order = np.argsort(feat)
+        feat, block = feat[order], np.asarray(table["block"])[order]
+        unit = units(np.frombuffer(b"".join(table["vec"].to_pylist()), dtype=np.float32).reshape(len(feat), -1)[order])
+        floor = np.full(len(feat), least)
+        floor[np.searchsorted(feat, np.asarray(floors["featno"]))] = np.asarray(floors["floor"])
+        a, b = table["a"][0].as_py(), table["b"][0].as_py()
+        out = []
+        for x, y in {(a, b), (b, a)}:
+            asks, held = np.flatnonzero((block == x) & (feat % every == 0)), np.flatnonzero(block == y)
+            row, col, cos = exact_search(unit[asks], feat[asks], floor[asks], unit[held], feat[held], k, least)
+            out.append((feat[asks][row], feat[held][col], cos))
+        own, other, cos = (np.concatenate(c) for c in zip(*out, strict=True))
+        typeno = np.full(len(own), table["typeno"][0].as_py(), np.int32)
+        return pa.table([pa.array(typeno), pa.array(own.astype(np.int32)), pa.array(other.astype(np.int32)), pa.array(cos)], schema=schema)
+
+    return run
+
+
+def _packed(batches):
+    for pdf in batches:
+        pdf["vec"] = [np.asarray(v, dtype=np.float32).tobytes() for v in pdf["vec"]]
+        yield pdf
+
+
+def completed(found: DataFrame, single: DataFrame, k: int, least: float, every: int) -> DataFrame:
+    """The best of all vectors of the type, given some of the similar ones that ``found`` has of each query.
+
+    The ``k``-th best of ``found`` is a lower bound of the true one. Each type is divided into blocks by hash, and
+    each pair of blocks is multiplied in one task, so that no task grows with a type; few pairs reach the bounds.
+    """
+    sizes = single.groupBy("typeno").count().where(F.col("count") > BLOCK).collect()  # at most one for each BLOCK vectors
+    blocks = F.lit(1)
+    if sizes:
+        blocks = F.coalesce(F.create_map(*[F.lit(x) for r in sizes for x in (r["typeno"], -(-r["count"] // BLOCK))])[F.col("typeno")], blocks)
+
+    def paired(df):
+        there = df.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("featno"), F.col("blocks")).cast("int"))
+        there = there.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+        return there.withColumns({"a": F.least("block", "with"), "b": F.greatest("block", "with")}).drop("blocks", "with")
+
+    best = F.sort_array(F.collect_list("cosine"), asc=False)
+    floors = found.groupBy("typeno", "featno").agg(F.get(best, F.lit(k - 1)).alias("floor")).where(F.col("floor").isNotNull())
+    packed = single.select("typeno", "featno", "vec").mapInPandas(_packed, "typeno int, featno int, vec binary")
+    keys = ("typeno", "a", "b")
+    return paired(packed).groupBy(*keys).cogroup(paired(floors).groupBy(*keys)).applyInArrow(_block_search(k, least, every), FOUND)
+
+
 def nearest(vectors: DataFrame, *, k: int = 10, least: float = -1.0, every: int = 1, probes: int = PROBES, margin: float = MARGIN) -> DataFrame:
     """The ``k`` most similar vectors of the same type: ``(typeno, featno, other, cosine, rank)``.
 
@@ -140,11 +227,13 @@ def nearest(vectors: DataFrame, *, k: int = 10, least: float = -1.0, every: int
 
     Method. Vectors are kept in cells round centroids. Within a cell they are coded by the signs of their randomly
     rotated residuals. A query visits the near cells; there packed bits and a few scalars give estimates with error
-    bounds, and the vectors that the bounds can't rule out are ranked by exact cosines. What is lost is what lies in
-    cells that a query doesn't visit; see the README for the recall.
+    bounds, and the vectors that the bounds can't rule out are ranked by exact cosines. The ``k``-th best of these
+    bounds the true one from below; an exact pass over all vectors of the type then ranks whatever reaches that bound.
+    So ``probes`` and ``margin`` decide how sharp the bound is, never what is found.
 
     Plan. One shuffle brings each vector to the cells that it visits, one merges the results of a query's cells. A
-    cell too large for a task is split into parts that all its queries visit. Exact copies are set aside first: one
+    cell too large for a task is split into parts that all its queries visit. The exact pass sends each vector once
+    for each block of its type; its products grow with the square of a type. Exact copies are set aside first: one
     of a group is indexed, and the others are put in beside it, so that a large group makes no large cell.
 
     Edge cases. See :func:`current_vectors` for keys, repeats and unusable vectors. A type with one vector has no
@@ -158,6 +247,7 @@ def nearest(vectors: DataFrame, *, k: int = 10, least: float = -1.0, every: int
     has_copies = same.limit(1).count() > 0
     ask = 1 if has_copies else every
     found = routed(single, cells, probes=probes, margin=margin, every=ask).groupBy("cell", "part", "typeno").applyInArrow(_cell_search(k, least, ask), FOUND)
+    found = completed(found, single, k, least, ask)
     if has_copies:
         found = _with_copies(found, same, k, every)
     best = Window.partitionBy("typeno", "featno").orderBy(F.desc("cosine"), "other")
