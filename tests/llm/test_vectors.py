@@ -191,3 +191,25 @@ def test_one_dense_group_over_many_cells(spark, monkeypatch, block):
     for r in N.nearest(frame(spark, rows), least=0.8).collect():
         got.setdefault((r.typeno, r.featno), {})[r.rank] = r.other
     assert {k: [d[i] for i in sorted(d)] for k, d in got.items()} == want
+
+
+@pytest.mark.parametrize("operator, sample", [("clusters", 60_000), ("nearest", 500)])
+def test_cells_beside_many_copies(spark, model, monkeypatch, operator, sample):
+    """A third of a type are copies of one vector: they neither fill the sample nor draw centroids."""
+    r = np.random.default_rng(10)
+    rows = groups(10, [60, 5, 3], types=(1,), alone=700)
+    near = [(20_000 + i, 1, 300_000 + i, rows[0][3] / np.linalg.norm(rows[0][3]) + r.standard_normal(64) * 0.02) for i in range(60)]
+    rows += near + [(30_000 + i, 1, 400_000 + i, rows[0][3]) for i in range(400)]
+    fit, fitted, seen, units = C.fit_cells, [], [], C.units
+    where = K if operator == "clusters" else N
+    monkeypatch.setattr(where, "fit_cells", lambda df, **kw: fitted.append(fit(df, cell=30, sample=sample, **kw)) or fitted[-1])
+    monkeypatch.setattr(C, "units", lambda v: seen.append(len(v)) or units(v))
+    if operator == "clusters":
+        want, got = brute_clusters(rows), found_clusters(spark, rows, model)
+        assert sum(got.get(k) == v for k, v in want.items()) / len(want) > 0.98
+    else:
+        want = brute_nearest(rows, 10, 0.8)
+        got = {(x.typeno, x.featno, x.other) for x in N.nearest(frame(spark, rows), least=0.8).collect()}
+        assert got == {(*k, o) for k, v in want.items() for o in v}
+    c = fitted[0].centroids[1]
+    assert len(c) > 8 and len(np.unique(np.round(c, 6), axis=0)) == len(c) and 400 < sum(seen) <= sample

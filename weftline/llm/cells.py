@@ -86,14 +86,18 @@ def _fit(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
         np.add.at(sums, at, x)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), c)
-    return c
-
-
-def fit_cells(current: DataFrame, *, cell: int = CELL, sample: int = SAMPLE, largest: int = 4 * CELL) -> Cells:
-    """Places centroids on a bounded sample of the vectors, by hash."""
-    n = current.count()
-    every = max(1, -(-n // sample))
-    drawn = current.where(F.pmod(F.col("h1"), F.lit(every)) == 0).select("typeno", "featno", "vec").toPandas().sort_values(["typeno", "featno"])
+    c = c[np.bincount(np.argmax(x @ c.T, axis=1), minlength=k) > 0]
+    # several centroids on one point would take up the probes of all vectors near it
+    return c[np.sort(np.unique(np.round(c, 6), axis=0, return_index=True)[1])]
+
+
+def fit_cells(single: DataFrame, *, cell: int = CELL, sample: int = SAMPLE, largest: int = 4 * CELL) -> Cells:
+    """Places centroids on a bounded sample of the vectors without copies, by a hash of their keys."""
+    n = single.count()
+    # a little less than the bound, so that the limit, which takes any rows, doesn't come into play
+    share = 1.0 if n <= sample else 0.97 * sample / n
+    chosen = F.pmod(F.xxhash64("typeno", "featno"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    drawn = single.where(chosen).select("typeno", "featno", "vec").limit(sample).toPandas().sort_values(["typeno", "featno"])
     scale = n / max(1, len(drawn))
     total = max(1, min(MAX_CENTROIDS, -(-n // cell)))
     first, centroids, parts = {}, {}, []
@@ -149,8 +153,8 @@ def routed(current: DataFrame, cells: Cells, *, probes: int, margin: float, ever
 
 
 def distinct_vectors(cut: Cut, vectors: DataFrame, dim: int = DIM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Current vectors (written), groups of copies, and the vectors without copies but the first of each group."""
+    """Current vectors (written), groups of copies (written), and the vectors without copies but the first of each group."""
     current = cut.keep(current_vectors(vectors, dim))
-    same = copies(current)
+    same = cut.keep(copies(current))
     others = same.where(F.col("featno") != F.col("rep")).select("typeno", "featno")
     return current, same, current.join(others, ["typeno", "featno"], "left_anti")

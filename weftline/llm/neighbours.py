@@ -240,10 +240,9 @@ def nearest(vectors: DataFrame, *, k: int = 10, least: float = -1.0, every: int
     rows. An empty table gives an empty result; other columns are ignored.
     """
     cut = Cut(vectors.sparkSession, "vec")
-    current, same, single = distinct_vectors(cut, vectors)
-    cells = fit_cells(current)
+    _, same, single = distinct_vectors(cut, vectors)
+    cells = fit_cells(single)
     # a query stands for its copies, so all must be asked where one group may have copies
-    same = cut.keep(same)
     has_copies = same.limit(1).count() > 0
     ask = 1 if has_copies else every
     found = routed(single, cells, probes=probes, margin=margin, every=ask).groupBy("cell", "part", "typeno").applyInArrow(_cell_search(k, least, ask), FOUND)
