@@ -213,3 +213,15 @@ def test_cells_beside_many_copies(spark, model, monkeypatch, operator, sample):
         assert got == {(*k, o) for k, v in want.items() for o in v}
     c = fitted[0].centroids[1]
     assert len(c) > 8 and len(np.unique(np.round(c, 6), axis=0)) == len(c) and 400 < sum(seen) <= sample
+
+
+def test_nearest_of_unrelated_vectors_over_many_cells(spark, monkeypatch):
+    """A type of far more cells than probes: the ten best of unrelated vectors lie anywhere."""
+    rows = groups(11, [3], types=(1,), alone=2000)
+    fit = N.fit_cells
+    monkeypatch.setattr(N, "fit_cells", lambda df, **kw: fit(df, cell=8))
+    want = {k: v for k, v in brute_nearest(rows, 10, -1.0).items() if k[1] % 20 == 0}
+    got = {}
+    for r in N.nearest(frame(spark, rows), every=20, probes=64, margin=0.6).collect():
+        got.setdefault((r.typeno, r.featno), {})[r.rank] = r.other
+    assert {k: [d[i] for i in sorted(d)] for k, d in got.items()} == want
