@@ -225,3 +225,12 @@ def test_nearest_of_unrelated_vectors_over_many_cells(spark, monkeypatch):
     for r in N.nearest(frame(spark, rows), every=20, probes=64, margin=0.6).collect():
         got.setdefault((r.typeno, r.featno), {})[r.rank] = r.other
     assert {k: [d[i] for i in sorted(d)] for k, d in got.items()} == want
+
+
+def test_the_end_of_a_chain_is_kept(spark, model):
+    """Only neighbours of a chain a-b-c-d are similar: b takes a and c, and d, similar to c, is listed alone."""
+    x = np.stack([[np.cos(a), np.sin(a)] for a in np.deg2rad([0, 30, 60, 90])])
+    assert list(K.split_loose(x, np.array([[0, 1], [1, 2], [2, 3]]), 0.8)[0]) == [1, 1, 1, 3]
+    rows = [(i, 1, 10 + i, np.r_[v, np.zeros(62)]) for i, v in enumerate(x)] + [(9, 1, 20, np.r_[np.zeros(63), 1])]
+    got = {(r.featno, r.cluster_featno, r.medoid) for r in K.clusters(frame(spark, rows), model).collect()}
+    assert got == {(10, 10, 11), (11, 10, 11), (12, 10, 11), (13, 13, 13)}
