@@ -79,3 +79,11 @@ def test_counts_by_period(spark):
     rows = orphans_by_period(found).collect()
     assert sum(r.orphans for r in rows) == len(brute(links, defs))
     assert found.where(F.col("period").isNull()).count() == sum(r.orphans for r in rows if r.month is None)
+
+
+def test_large_ids_beside_a_null(spark):
+    """Ids above 2**53 stay apart in a range that also holds a null id; a null id is listed once for each key."""
+    big = 2**60
+    links = [(big + i, "gone", None, 1, day(1), day(1), "", "") for i in range(4)] + [(None, p, None, 1, day(1), day(1), "", "") for p in ("gone", "gone", "lost")]
+    got = run(spark.createDataFrame(links, LINKS), spark.createDataFrame([], DEFS)).collect()
+    assert sorted((r.ref_id or 0, r.side, r.page) for r in got) == [(0, "src", "gone"), (0, "src", "lost"), *((big + i, "src", "gone") for i in range(4))]

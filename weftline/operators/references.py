@@ -12,6 +12,11 @@ from weftline.functions.bitmap import Bitmap
 _NEVER = np.iinfo(np.int64).max
 
 
+def _numbers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Integers, 0 for nulls, and a mask of the nulls: an array with nulls would turn into floats."""
+    return np.asarray(column.fill_null(0)).astype(np.int64), np.asarray(column.is_null())
+
+
 def _micros(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Microseconds since 1970 and a mask of the nulls."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -81,9 +86,11 @@ def _range_orphans(refs: pa.Table, defs: pa.Table) -> pa.Table:
         orphan[check] = ~_covered(merged, ref[check], ts[check])
 
     hit = np.flatnonzero(orphan)
-    ids = np.asarray(refs["ref_id"])[hit]
+    ids, no_id = _numbers(refs["ref_id"])
     side = np.asarray(refs["side"])[hit]
-    _, first = np.unique(np.rec.fromarrays([ids, side]), return_index=True)
+    # references without an id are told apart by their keys
+    keys = [ids[hit], no_id[hit], np.where(no_id, ref, 0)[hit], side]
+    _, first = np.unique(np.rec.fromarrays(keys), return_index=True)
     hit = hit[np.sort(first)]
     found = refs.take(pa.array(hit))
     period = pa.array(month[hit].astype(np.int32), mask=no_ts[hit])
