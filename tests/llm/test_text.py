@@ -195,3 +195,12 @@ def test_too_many_common_words(spark, monkeypatch):
     monkeypatch.setattr(Q, "MAX_COMMON", 3)
     with pytest.raises(ValueError):
         Q.text_quality(docs(spark, []), spark.createDataFrame(COMMON, "lang string, word string"))
+
+
+def test_passages_with_changed_ends():
+    """Any word of a passage may be the changed one, also its first and its last."""
+    words = [f"word{i}" for i in range(19)]
+    items = L.Items([(1, " ".join(words))], set())
+    for gone, found in (({0}, True), ({18}, True), ({0, 18}, True), ({0, 9, 18}, True), ({0, 9, 10, 18}, False), ({0, 1, 18}, True), ({0, 1, 2, 18}, False)):
+        text = " ".join(["before"] * 9 + ["other" if i in gone else w for i, w in enumerate(words)] + ["after"] * 9)
+        assert bool(items.found(text)) == found, gone

@@ -29,15 +29,14 @@ def longest_run(min_words: int = MIN_WORDS, one_in: int = ONE_IN) -> int:
 
 
 def longest_stretch(gains: list[tuple[int, int]]) -> int:
-    """Most words of a stretch of ``(gain, words)`` whose gains add up to 0 or more and whose ends are equal words."""
+    """Most words of a stretch of ``(gain, words)`` whose gains add up to 0 or more; changed words may stand at its ends."""
     total, count, best = 0, 0, 0
-    lows: list[tuple[int, int]] = []  # falling totals before an equal word, and the words before them
+    lows = [(0, 0)]  # falling totals, and the words before them
     for gain, n in gains:
-        if gain > 0 and (not lows or total < lows[-1][0]):
-            lows.append((total, count))
         total, count = total + gain, count + n
-        if gain > 0:
-            best = max(best, count - next(c for t, c in lows if t <= total))
+        if total < lows[-1][0]:
+            lows.append((total, count))
+        best = max(best, count - next(c for t, c in lows if t <= total))
     return best
 
 
