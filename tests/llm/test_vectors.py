@@ -4,7 +4,9 @@ import pytest
 from weftline.llm import cells as C
 from weftline.llm import clusters as K
 from weftline.llm import neighbours as N
+from weftline.config import create_config
 from weftline.llm.components import connected_components
+from weftline.operators.lshmodel import create_model, to_frame
 
 SCHEMA = "seq bigint, typeno int, featno int, vec array<float>, lsh array<bigint>, stored_at timestamp, cell int, own boolean, rank int, medoid int, vec_ string, h1 int"
 
@@ -100,7 +102,7 @@ def test_current_vectors_and_bad_input(spark, model):
         (1, 1, 4, []), (1, 1, 5, np.zeros(64)), (1, 1, 6, [float("nan")] * 64), (1, 1, 7, [float("inf")] + [1.0] * 63), (1, 1, 8, [None] + [1.0] * 63), (1, 1, 9, np.ones(63)), (1, None, 10, good), (1, 1, None, good),
         (2, 2, 1, good), (1, 1, 11, good * 1e-30), (1, 1, 12, good * 1e30),
     ]
-    got = {(r.typeno, r.featno) for r in C.current_vectors(frame(spark, rows)).collect()}
+    got = {(r.typeno, r.featno) for r in C.current_vectors(frame(spark, rows), C.usual_dim(frame(spark, rows))).collect()}
     assert got == {(1, 2), (1, 3), (2, 1), (1, 11), (1, 12)}
     assert found_clusters(spark, rows, model) == {(1, 2): 2, (1, 3): 2, (1, 11): 2, (1, 12): 2}
     near = N.nearest(frame(spark, rows), k=2)
@@ -139,7 +141,7 @@ def test_nearest_recall(spark):
 def test_bounds_of_the_codes():
     r = np.random.default_rng(2)
     x = C.units(r.standard_normal((400, 64)) + 1.5)
-    codes = N.Codes(x, N.rotation())
+    codes = N.Codes(x, N.rotation(64))
     est, err = codes.estimate(x[:100])
     off = np.abs(est - x[:100] @ x.T)
     assert (off <= err).mean() > 0.93 and np.abs((est - x[:100] @ x.T).mean()) < 0.01
@@ -165,11 +167,59 @@ def test_band_links_against_all_pairs():
 
 
 def test_split_loose():
-    """A chain of directions: only neighbours are near, and the middle one has the most links."""
+    """A chain of directions: only neighbours are near; the middle one is the most central."""
     x = np.stack([[np.cos(a), np.sin(a)] for a in np.deg2rad([0, 30, 60, 90, 120])])
     links = np.array([[0, 1], [1, 2], [2, 3], [3, 4]])
-    medoid, degree = K.split_loose(x, links, 0.8)
-    assert list(degree) == [1, 2, 2, 2, 1] and list(medoid) == [1, 1, 1, 3, 3]
+    assert list(K.split_loose(x, links, 0.8)) == [0, 2, 2, 2, 4]
+    chain = np.stack([[np.cos(a), np.sin(a)] for a in np.deg2rad(np.arange(8) * 30)])
+    assert (K.split_loose(chain, np.stack([np.arange(7), np.arange(1, 8)], axis=1), 0.8) >= 0).all()
+
+
+def test_medoid_is_the_most_central(spark, model, monkeypatch):
+    """In one cell and over several, whatever links were found first."""
+    for cell in (1200, 30):
+        r = np.random.default_rng(12)
+        c = r.standard_normal(64)
+        x = c + r.standard_normal((60, 64)) * np.linspace(0.4, 0.02, 60)[:, None]
+        rows = [(i, 1, i + 1, v) for i, v in enumerate(x)] + [(900 + i, 1, 900 + i, r.standard_normal(64)) for i in range(60)]
+        fit = C.fit_cells
+        monkeypatch.setattr(K, "fit_cells", lambda df, **kw: fit(df, cell=cell, **kw))
+        u = unit_rows(rows)[1][1][:60]
+        assert ((u @ u.T) >= 0.8).all()
+        got = {(q.medoid, q.cluster_featno) for q in K.clusters(frame(spark, rows), model).where("featno <= 60").collect()}
+        assert got == {(int(np.argmax(np.round((u @ u.T).mean(axis=1), 6))) + 1, 1)}
+
+
+@pytest.mark.parametrize("dim", [16, 64, 300])
+def test_any_number_of_components(spark, dim):
+    r = np.random.default_rng(dim)
+    x = np.repeat(r.standard_normal((60, dim)), 3, axis=0) + r.standard_normal((180, dim)) * 0.3
+    rows = [(i, 1, i, v) for i, v in enumerate(x)] + [(500 + i, 1, 500 + i, r.standard_normal(dim - 1)) for i in range(20)]
+    good = rows[:180]
+    conf = create_config(f"vecdim={dim}")
+    m = to_frame(spark, create_model(dim, conf.bits, conf.variations))
+    assert found_clusters(spark, rows, m) == brute_clusters(good)
+    got = {}
+    for q in N.nearest(frame(spark, rows), k=4).collect():
+        got.setdefault((q.typeno, q.featno), {})[q.rank] = q.other
+    assert {k: [d[i] for i in sorted(d)] for k, d in got.items()} == brute_nearest(good, 4, -1.0)
+
+
+def test_model_without_directions(spark):
+    with pytest.raises(ValueError):
+        K.clusters(frame(spark, [(1, 1, 1, np.ones(64))]), spark.createDataFrame([(0, None), (1, [0.0] * 64)], "row_no int, coeffs array<double>"))
+
+
+def test_copies_ask_for_the_first_of_their_group(spark):
+    """Only numbers divisible by 20 ask: some do by themselves, some through a copy of a smaller number."""
+    rows = groups(13, [12, 5], types=(1,), alone=60)
+    v, w = rows[0][3], rows[1][3]
+    rows += [(7000, 1, 200_001, v), (7001, 1, 200_020, v), (7002, 1, 200_040, w)]
+    want = {k: x for k, x in brute_nearest(rows, 5, -1.0).items() if k[1] % 20 == 0}
+    got = {}
+    for q in N.nearest(frame(spark, rows), k=5, every=20).collect():
+        got.setdefault((q.typeno, q.featno), {})[q.rank] = q.other
+    assert {k: [d[i] for i in sorted(d)] for k, d in got.items()} == want
 
 
 def test_connected_components(spark):
@@ -230,7 +280,7 @@ def test_nearest_of_unrelated_vectors_over_many_cells(spark, monkeypatch):
 def test_the_end_of_a_chain_is_kept(spark, model):
     """Only neighbours of a chain a-b-c-d are similar: b takes a and c, and d, similar to c, is listed alone."""
     x = np.stack([[np.cos(a), np.sin(a)] for a in np.deg2rad([0, 30, 60, 90])])
-    assert list(K.split_loose(x, np.array([[0, 1], [1, 2], [2, 3]]), 0.8)[0]) == [1, 1, 1, 3]
+    assert list(K.split_loose(x, np.array([[0, 1], [1, 2], [2, 3]]), 0.8)) == [1, 1, 1, 3]
     rows = [(i, 1, 10 + i, np.r_[v, np.zeros(62)]) for i, v in enumerate(x)] + [(9, 1, 20, np.r_[np.zeros(63), 1])]
     got = {(r.featno, r.cluster_featno, r.medoid) for r in K.clusters(frame(spark, rows), model).collect()}
     assert got == {(10, 10, 11), (11, 10, 11), (12, 10, 11), (13, 13, 13)}

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.cells import DIM, distinct_vectors, fit_cells, routed, units
+from weftline.llm.cells import blobs, distinct_vectors, fit_cells, in_tasks, matrix, routed, units
 from weftline.session import Cut
 
 #: Cells that a vector visits at most, and how much less similar their centroids may be than the nearest.
@@ -21,7 +21,7 @@ _TILE = 1 << 19
 BLOCK, SLACK = 1 << 15, 2e-5
 
 
-def rotation(dim: int = DIM, seed: int = 20_24) -> np.ndarray:
+def rotation(dim: int, seed: int = 20_24) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
@@ -46,7 +46,7 @@ class Codes:
         self.ones = np.bitwise_count(self.bits).sum(axis=1).astype(np.float32)
         fit = np.maximum(np.abs(u).sum(axis=1) / np.sqrt(dim), 1e-6)
         self.scale = (self.norm / fit / np.sqrt(dim)).astype(np.float32)
-        self.bound = (self.norm * np.sqrt(np.maximum(0, 1 - fit**2)) / fit * width / np.sqrt(dim - 1)).astype(np.float32)
+        self.bound = (self.norm * np.sqrt(np.maximum(0, 1 - fit**2)) / fit * width / np.sqrt(max(1, dim - 1))).astype(np.float32)
         self.offset = unit @ self.center
 
     def estimate(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,26 +146,24 @@ def _pack(bits: np.ndarray) -> np.ndarray:
 FOUND = "typeno int, featno int, other int, cosine double"
 
 
-def _cell_search(k: int, least: float, every: int):
-    turn = rotation()
-
+def _cell_search(k: int, least: float):
     def run(table: pa.Table) -> pa.Table:
         own = np.asarray(table["own"])
         feat = np.asarray(table["featno"])
-        unit = units(np.frombuffer(b"".join(table["vec"].to_pylist()), dtype=np.float32).reshape(len(feat), -1))
+        unit = units(blobs(table["vec"]))
         typeno = int(table["typeno"][0].as_py())
         schema = pa.schema([("typeno", pa.int32()), ("featno", pa.int32()), ("other", pa.int32()), ("cosine", pa.float64())])
-        asks = np.flatnonzero(feat % every == 0)
+        asks = np.flatnonzero(np.asarray(table["asks"]))
         if not own.any() or not len(asks):
             return schema.empty_table()
         ids = feat[own]
-        row, col, cos = Codes(unit[own], turn).search(unit[asks], feat[asks], ids, k, least)
+        row, col, cos = Codes(unit[own], rotation(unit.shape[1])).search(unit[asks], feat[asks], ids, k, least)
         return pa.table([pa.array(np.full(len(row), typeno, np.int32)), pa.array(feat[asks][row].astype(np.int32)), pa.array(ids[col].astype(np.int32)), pa.array(cos)], schema=schema)
 
     return run
 
 
-def _block_search(k: int, least: float, every: int):
+def _block_search(k: int, least: float):
     schema = pa.schema([("typeno", pa.int32()), ("featno", pa.int32()), ("other", pa.int32()), ("cosine", pa.float64())])
 
     def run(table: pa.Table, floors: pa.Table) -> pa.Table:
@@ -173,14 +171,14 @@ def _block_search(k: int, least: float, every: int):
             return schema.empty_table()
         feat = np.asarray(table["featno"])
         order = np.argsort(feat)
-        feat, block = feat[order], np.asarray(table["block"])[order]
-        unit = units(np.frombuffer(b"".join(table["vec"].to_pylist()), dtype=np.float32).reshape(len(feat), -1)[order])
+        feat, block, ask = (np.asarray(table[c])[order] for c in ("featno", "block", "asks"))
+        unit = units(blobs(table["vec"])[order])
         floor = np.full(len(feat), least)
         floor[np.searchsorted(feat, np.asarray(floors["featno"]))] = np.asarray(floors["floor"])
         a, b = table["a"][0].as_py(), table["b"][0].as_py()
         out = []
         for x, y in {(a, b), (b, a)}:
-            asks, held = np.flatnonzero((block == x) & (feat % every == 0)), np.flatnonzero(block == y)
+            asks, held = np.flatnonzero((block == x) & ask), np.flatnonzero(block == y)
             row, col, cos = exact_search(unit[asks], feat[asks], floor[asks], unit[held], feat[held], k, least)
             out.append((feat[asks][row], feat[held][col], cos))
         own, other, cos = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -191,12 +189,13 @@ def _block_search(k: int, least: float, every: int):
 
 
 def _packed(batches):
-    for pdf in batches:
-        pdf["vec"] = [np.asarray(v, dtype=np.float32).tobytes() for v in pdf["vec"]]
-        yield pdf
+    for batch in batches:
+        raw = np.ascontiguousarray(matrix(batch.column("vec")), dtype=np.float32) if batch.num_rows else np.empty((0, 0), np.float32)
+        vec = pa.array([r.tobytes() for r in raw], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("typeno", "featno", "asks")), vec], ["typeno", "featno", "asks", "vec"])
 
 
-def completed(found: DataFrame, single: DataFrame, k: int, least: float, every: int) -> DataFrame:
+def completed(found: DataFrame, single: DataFrame, k: int, least: float) -> DataFrame:
     """The best of all vectors of the type, given some of the similar ones that ``found`` has of each query.
 
     The ``k``-th best of ``found`` is a lower bound of the true one. Each type is divided into blocks by hash, and
@@ -214,16 +213,17 @@ def completed(found: DataFrame, single: DataFrame, k: int, least: float, every:
 
     best = F.sort_array(F.collect_list("cosine"), asc=False)
     floors = found.groupBy("typeno", "featno").agg(F.get(best, F.lit(k - 1)).alias("floor")).where(F.col("floor").isNotNull())
-    packed = single.select("typeno", "featno", "vec").mapInPandas(_packed, "typeno int, featno int, vec binary")
+    packed = single.select("typeno", "featno", "asks", "vec").mapInArrow(_packed, "typeno int, featno int, asks boolean, vec binary")
     keys = ("typeno", "a", "b")
-    return paired(packed).groupBy(*keys).cogroup(paired(floors).groupBy(*keys)).applyInArrow(_block_search(k, least, every), FOUND)
+    return paired(packed).groupBy(*keys).cogroup(paired(floors).groupBy(*keys)).applyInArrow(_block_search(k, least), FOUND)
 
 
-def nearest(vectors: DataFrame, *, k: int = 10, least: float = -1.0, every: int = 1, probes: int = PROBES, margin: float = MARGIN) -> DataFrame:
+def nearest(vectors: DataFrame, *, k: int = 10, least: float = -1.0, every: int = 1, probes: int = PROBES, margin: float = MARGIN, dim: int | None = None) -> DataFrame:
     """The ``k`` most similar vectors of the same type: ``(typeno, featno, other, cosine, rank)``.
 
     Queries are the current vectors whose ``featno`` is divisible by ``every``; all are searched. Only pairs of a
     cosine of at least ``least`` are given. Cosines are rounded to 6 digits; ties go to the smaller ``featno``.
+    Vectors have ``dim`` components, by default as many as most of them have.
 
     Method. Vectors are kept in cells round centroids. Within a cell they are coded by the signs of their randomly
     rotated residuals. A query visits the near cells; there packed bits and a few scalars give estimates with error
@@ -240,15 +240,10 @@ def nearest(vectors: DataFrame, *, k: int = 10, least: float = -1.0, every: int
     rows. An empty table gives an empty result; other columns are ignored.
     """
     cut = Cut(vectors.sparkSession, "vec")
-    _, same, single = distinct_vectors(cut, vectors)
+    _, same, single = distinct_vectors(cut, vectors, dim, every)
     cells = fit_cells(single)
-    # a query stands for its copies, so all must be asked where one group may have copies
-    has_copies = same.limit(1).count() > 0
-    ask = 1 if has_copies else every
-    found = routed(single, cells, probes=probes, margin=margin, every=ask).groupBy("cell", "part", "typeno").applyInArrow(_cell_search(k, least, ask), FOUND)
-    found = completed(found, single, k, least, ask)
-    if has_copies:
-        found = _with_copies(found, same, k, every)
+    found = in_tasks(routed(single, cells, probes=probes, margin=margin), cells).applyInArrow(_cell_search(k, least), FOUND)
+    found = _with_copies(completed(found, single, k, least), same, k, every)
     best = Window.partitionBy("typeno", "featno").orderBy(F.desc("cosine"), "other")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

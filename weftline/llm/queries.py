@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.llm import clusters, encode, leaks, neighbours, quality
-from weftline.plans.vectors import _CUR
+from weftline.plans.vectors import CURRENT_SQL
 from weftline.session import table
 
+#: Components of the vectors of the test tables.
+DIM = 64
 
 #: The vocabulary file of byte_bpe_50k; a parameter of the operator.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _clusters(spark, sf_dir):
-    return clusters.clusters(table(spark, sf_dir, "vectors"), table(spark, sf_dir, "lsh_model"))
+    return clusters.clusters(table(spark, sf_dir, "vectors"), table(spark, sf_dir, "lsh_model"), dim=DIM)
 
 
 def p1_found(spark, sf_dir):
@@ -26,11 +28,11 @@ def p1_described(spark, sf_dir):
 
 
 def p5_found(spark, sf_dir):
-    return neighbours.similar_pairs(neighbours.nearest(table(spark, sf_dir, "vectors"), least=0.8))
+    return neighbours.similar_pairs(neighbours.nearest(table(spark, sf_dir, "vectors"), least=0.8, dim=DIM))
 
 
 def p5_topk(spark, sf_dir):
-    near = neighbours.nearest(table(spark, sf_dir, "vectors"), every=20, probes=64, margin=0.6)
+    near = neighbours.nearest(table(spark, sf_dir, "vectors"), every=20, dim=DIM)
     return near.select("typeno", "featno", "other", "cosine", "rank")
 
 
@@ -62,7 +64,7 @@ def p8_profiles(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (p1_found, p1_described, p5_found, p5_topk, p6_ids, p7_found, p8_found, p8_stats, p8_profiles)}
 
 _NEAR = (
-    _CUR.strip()
+    CURRENT_SQL.strip()
     + """,
 n AS (SELECT a.typeno, a.featno, b.featno AS other, round(list_cosine_similarity(a.vec, b.vec), 6) AS cosine FROM cur a JOIN cur b ON a.typeno = b.typeno AND a.featno <> b.featno),
 r AS (SELECT *, row_number() OVER (PARTITION BY typeno, featno ORDER BY cosine DESC, other) AS rank FROM n)
@@ -72,6 +74,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY typeno, featno ORDER BY cosine D
 # exact searches: the approximate operators give the same rows on the small tables
 ORACLE = {
     "p1_found": _NEAR + "SELECT typeno, featno, least(featno, min(other)) AS cluster_featno FROM n WHERE cosine >= 0.8 GROUP BY typeno, featno",
+    "p1_described": _NEAR
+    + """,
+m AS (SELECT typeno, featno, least(featno, min(other)) AS cluster_featno FROM n WHERE cosine >= 0.8 GROUP BY typeno, featno),
+v AS (SELECT typeno, featno, cluster_featno, list_transform(vec, lambda x: x / sqrt(list_inner_product(vec, vec))) AS u FROM m JOIN cur USING (typeno, featno)),
+d AS (SELECT typeno, cluster_featno, u, min(featno) AS featno FROM v GROUP BY 1, 2, 3),
+s AS (SELECT a.typeno, a.cluster_featno, a.featno, a.u, round(avg(list_inner_product(a.u, b.u)), 6) AS mean FROM d a JOIN d b USING (typeno, cluster_featno) GROUP BY 1, 2, 3, 4),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY typeno, cluster_featno ORDER BY mean DESC, featno) AS rn FROM s) WHERE rn = 1),
+t AS (SELECT v.typeno, v.cluster_featno, v.featno, round(list_inner_product(v.u, h.u), 6) AS sim FROM v JOIN h USING (typeno, cluster_featno)),
+k AS (SELECT *, count(*) OVER (PARTITION BY typeno, cluster_featno) AS size, row_number() OVER (PARTITION BY typeno, cluster_featno ORDER BY sim DESC, featno) AS rank FROM t)
+SELECT typeno, cluster_featno, size, CAST(rank AS INT) AS rank, featno, sim FROM k WHERE rank <= 3""",
     "p5_found": _NEAR + "SELECT DISTINCT typeno, least(featno, other) AS featno_a, greatest(featno, other) AS featno_b FROM r WHERE rank <= 10 AND cosine >= 0.8",
     "p5_topk": _NEAR + "SELECT typeno, featno, other, cosine, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10 AND featno % 20 = 0",
     "p8_stats": r"""
