@@ -136,14 +136,14 @@ QUERIES = {
     for f in (current_vector_keys, normalized_vectors, simhash_words, stored_hash_bits, stored_hash_algebra, stale_hashes, cosine_topk, hamming_topk, lsh_prefilter_topk, lsh_filter_stats, rerank_topk, bench_candidate_counts, term_similarity)
 }
 
-_CUR = """
+CURRENT_SQL = """
 WITH cur AS (SELECT typeno, featno, CAST(vec AS DOUBLE[]) AS vec, lsh FROM (
   SELECT *, row_number() OVER (PARTITION BY typeno, featno ORDER BY seq DESC NULLS LAST) AS rn FROM vectors WHERE typeno IS NOT NULL AND featno IS NOT NULL)
   WHERE rn = 1 AND vec IS NOT NULL AND len(vec) = 64 AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0)
 """
 
 _HASH = (
-    _CUR
+    CURRENT_SQL
     + """,
 h AS (SELECT typeno, featno, any_value(c.vec) AS vec, any_value(c.lsh) AS lsh,
   string_agg(CASE WHEN list_inner_product(c.vec, CAST(m.coeffs AS DOUBLE[])) >= 0 THEN '1' ELSE '0' END, '' ORDER BY m.row_no) AS t
@@ -184,8 +184,8 @@ def _hex(bits: str) -> str:
 
 
 ORACLE = {
-    "current_vector_keys": _CUR + "SELECT typeno, featno, round(sqrt(list_inner_product(vec, vec)), 6) AS norm FROM cur",
-    "normalized_vectors": _CUR + "SELECT typeno, featno, round(CAST(CAST(vec[1] / sqrt(list_inner_product(vec, vec)) AS FLOAT) AS DOUBLE), 5) AS first, 1.0 AS length FROM cur",
+    "current_vector_keys": CURRENT_SQL + "SELECT typeno, featno, round(sqrt(list_inner_product(vec, vec)), 6) AS norm FROM cur",
+    "normalized_vectors": CURRENT_SQL + "SELECT typeno, featno, round(CAST(CAST(vec[1] / sqrt(list_inner_product(vec, vec)) AS FLOAT) AS DOUBLE), 5) AS first, 1.0 AS length FROM cur",
     "simhash_words": _HASH + "z AS (SELECT 1) SELECT typeno, featno, array_to_string(list_transform(range(0, 7), lambda i: substr(t, CAST(1 + 64 * i AS INT), 64)), '|') AS bits FROM h",
     "stored_hash_bits": f"""
 WITH s AS (SELECT DISTINCT seq, typeno, featno, lsh FROM vectors WHERE len(lsh) = 7), x AS (SELECT seq, typeno, featno, substr({_TEXT}, 1, 416) AS t, {_TEXT} AS full_t FROM s)
@@ -198,7 +198,7 @@ SELECT seq, CAST(length(replace(full_t, '0', '')) AS INT) AS n_set, CAST(substr(
   {_hex("(~a) & CAST(repeat('1', 416) || repeat('0', 32) AS BIT)")} AS hex_not,
   CAST(bit_count(xor(a, b)) AS INT) AS dist, bit_count(xor(a, b)) <= 200 AS near200, t < r AS less, CAST(bit_count(a | CAST(repeat('1', 416) || repeat('0', 32) AS BIT)) AS INT) AS n_ones FROM x""",
     "stale_hashes": _HASH + f"z AS (SELECT typeno, featno, CAST(bit_count(xor(CAST(t || repeat('0', 32) AS BIT), CAST({_TEXT} AS BIT))) AS INT) AS dist FROM h WHERE len(lsh) = 7) SELECT * FROM z WHERE dist > 0",
-    "cosine_topk": _CUR + _best("SELECT q.typeno, q.featno, c.featno AS other, round(list_cosine_similarity(c.vec, q.vec), 6) AS cosine FROM cur q JOIN cur c ON c.typeno = q.typeno WHERE q.featno % 20 = 0", "cosine DESC, other", "cosine"),
+    "cosine_topk": CURRENT_SQL + _best("SELECT q.typeno, q.featno, c.featno AS other, round(list_cosine_similarity(c.vec, q.vec), 6) AS cosine FROM cur q JOIN cur c ON c.typeno = q.typeno WHERE q.featno % 20 = 0", "cosine DESC, other", "cosine"),
     "hamming_topk": _HASH + _NEAR + "z AS (SELECT 1) " + _best("SELECT *, round(1 - dist / 520, 6) AS weight FROM d WHERE dist <= 104 AND 1 - dist / 520 > 0.8", "dist, other", "CAST(dist AS INT) AS dist, weight"),
     "lsh_prefilter_topk": _HASH + _NEAR + _FILTER + "z AS (SELECT 1) " + _best("SELECT c.*, round(1 - dist / 520, 6) AS weight FROM c JOIN p USING (typeno, featno) WHERE partial < prob_sum AND dist <= 104 AND 1 - dist / 520 > 0.8", "dist, other", "CAST(dist AS INT) AS dist, weight"),
     "lsh_filter_stats": _HASH
