@@ -193,7 +193,7 @@ def test_medoid_is_the_most_central(spark, model, monkeypatch):
 @pytest.mark.parametrize("dim", [16, 64, 300])
 def test_any_number_of_components(spark, dim):
     r = np.random.default_rng(dim)
-    x = np.repeat(r.standard_normal((60, dim)), 3, axis=0) + r.standard_normal((180, dim)) * 0.2
+    x = np.repeat(C.units(r.standard_normal((60, dim))) * dim**0.5, 3, axis=0) + r.standard_normal((180, dim)) * 0.2
     rows = [(i, 1, i, v) for i, v in enumerate(x)] + [(500 + i, 1, 500 + i, r.standard_normal(dim - 1)) for i in range(20)]
     good = rows[:180]
     conf = create_config(f"vecdim={dim}")
