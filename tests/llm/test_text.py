@@ -136,6 +136,7 @@ def test_longest_run():
 
 def test_words():
     assert words("Ｆｕｌｌ “Café” l’été <i>x</i>y &amp; z_1 co-\nop е‍ж") == ["full", "cafe", "l", "ete", "xy", "z", "1", "coop", words("ж")[0].join(["e", ""])]
+    assert words('a <a title="q > r" href=\'' + "x y " * 1500 + "'>b</a> <!-- " + "no " * 3000 + "--> c <!-- d") == ["a", "b", "c", "d"]
     assert words(None) == [] and words("...") == []
 
 
@@ -157,6 +158,7 @@ JUNK = {
     "list": "- house\n- hill\n- light (12)\n- day", "numbered": "1. house\n2. hill\n3. light\n4. day", "comma list": ", ".join(["house", "hill", "light", "day", "river", "road", "tower"] * 3), "csv": "house,12,hill\nriver,8.5,road\nday,77,tower",
     "table": "house\thill\t12\nriver\troad\t8\nday\ttower\t9", "bars": "| house | 12 |\n|---|---|\n| hill | 8 |\n| day | 9 |", "symbols": "~^;{#;>%? _[>$)}>=$ #^<=@{^[)", "dots": ". . . . . . . . . . . .", "rule": "=" * 80, "numbers": "503 917 746 141.79 78525\n1 421.13 2 78069",
     "log": "2025-01-24 00:14:30 [WARN] hudemul=378.00 nonoke\n2025-12-11 12:11:02 [E] runir=0 huriker", "hex": "b6fec8ca2 570c64f96 e0f1abd04 c4667485b f712df655", "links": '<div class="a"><a href="/x/6480">river</a></div><div class="b"><a href="/y/8">road</a></div>', "repeats": "Dorf! " * 30, "salad": "Babil taradol ketakus pesani madon tobin beshihul nukol. Nutu nobehur risaro vove bepidor.",
+    "trail": "River » Kitanity » Road » Market » Dobes Tower » Letter", "long tag": '<div class="' + "on the hill and " * 60 + '">river</div><div class="b">road</div>',
     "code": "pepir(pigavor, 238):\n  terodon(gumil, 478) {\n    betedos(gurivon, 397);", "japanese list": "(1) 冬 確実\n(2) 契約\n(3) 市場\n(4) 灯台",
 }
 
@@ -168,8 +170,8 @@ def test_natural_text(name):
 
 @pytest.mark.parametrize("name", list(JUNK))
 def test_junk(name):
-    share, profile = scales().profile(JUNK[name])
-    assert share > 0.5 and profile not in Q.NATURAL
+    share, profile, _ = scales().profile(JUNK[name])
+    assert share > 0.5 and not profile.startswith("prose")
 
 
 def test_shares_of_mixed_texts():
@@ -181,20 +183,33 @@ def test_quality_table(spark):
     common = spark.createDataFrame(COMMON, "lang string, word string")
     rows = [(1, PROSE), (2, JUNK["list"]), (3, None), (4, ""), (5, " \n\t"), (6, "The cat. \nno stop\n\n"), (6, "The cat. \nno stop\n\n"), (None, JUNK["table"]), (8, "x" * 300_000), (9, (PROSE + " ") * 2000)]
     out = {}
-    for r in Q.text_quality(docs(spark, rows), common).collect():
+    for r in Q.text_statistics(docs(spark, rows), common).collect():
         out.setdefault(r.doc_id, []).append(r)
     assert sum(map(len, out.values())) == len(rows) and len(out[6]) == 2
     assert out[6][0].n_words == 4 and out[6][0].mean_word_len == 3.0 and out[6][0].line_punct == 0.5 and out[6][0].common_share == 0.25
     assert out[3][0].n_words == 0 and out[3][0].mean_word_len is None and out[4][0].symbol_ratio is None and out[5][0].symbol_ratio == 0
-    assert {r.doc_id for r in Q.not_prose(Q.text_quality(docs(spark, rows), common)).collect()} == {2, None, 8}
-    assert Q.text_quality(docs(spark, []), common).count() == 0
-    assert Q.text_quality(docs(spark, rows), common.limit(0)).count() == len(rows)
-
-
-def test_too_many_common_words(spark, monkeypatch):
-    monkeypatch.setattr(Q, "MAX_COMMON", 3)
+    assert {r.doc_id for r in Q.not_prose(Q.text_structure(docs(spark, rows), common)).collect()} == {2, None, 8}
+    assert Q.text_statistics(docs(spark, []), common).count() == 0 and Q.text_structure(docs(spark, []), common).count() == 0
+    none = common.limit(0)
+    assert Q.text_statistics(docs(spark, rows), none).count() == len(rows) == Q.text_structure(docs(spark, rows), none).count()
+    assert {r.common_share for r in Q.text_statistics(docs(spark, [(1, PROSE)]), none).collect()} == {0.0}
+
+
+def test_fitted_prose(spark):
+    """Profiles come from sentences with a language's common words, and texts are told by how these are distributed."""
+    french = "la maison et le chemin de la ville sont dans la nuit".split()
+    common = [("en", w) for w in "the and was of in a".split()] + [("fr", w) for w in "la et le de sont dans".split()]
+    rows = [(i, PROSE) for i in range(40)] + [(50 + i, " ".join(french) + ".") for i in range(40)] + [(99, "- house\n- hill\n- light (12)\n- day")]
+    profiles, words = Q.fit_prose(docs(spark, rows), common)
+    assert {k for k in profiles.shares if k not in Q.PROFILES} == {"prose_en_poor", "prose_en_rich", "prose_fr_poor", "prose_fr_rich"}
+    assert words["fr"]["la"] == 120 and abs(sum(profiles.shares["prose_fr_rich"]) - 2) < 1e-9
+    got = {r.doc_id: (r.outside > 0.5, r.language) for r in Q.text_structure(docs(spark, rows), spark.createDataFrame(common, "lang string, word string")).collect()}
+    assert got[0] == (False, "en") and got[50] == (False, "fr") and got[99] == (True, "")
+
+
+def test_too_many_common_words(spark):
     with pytest.raises(ValueError):
-        Q.text_quality(docs(spark, []), spark.createDataFrame(COMMON, "lang string, word string"))
+        Q.text_structure(docs(spark, []), spark.createDataFrame(COMMON, "lang string, word string"), max_common=3)
 
 
 def test_passages_with_changed_ends():

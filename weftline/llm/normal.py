@@ -13,7 +13,11 @@ _LOOKALIKES = {
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i",
 }
 _FOLD = str.maketrans(_LOOKALIKES)
-_TAG = re.compile(r"<[/!]?[A-Za-z][^<>]{0,400}>|<!--.{0,2000}?-->", re.S)
+# A short tag may hold anything; a longer one must read as a name with attributes, as words between angle marks may
+# be text. No attempt goes past the next angle mark, so that many open ones take no longer.
+_ATTRIBUTE = r"""\s+[^\s=<>"']++(?:\s*=\s*(?:"[^"<]*+"|'[^'<]*+'|[^\s"'<>]++))"""
+TAG = rf"""<[/!]?[A-Za-z](?:[^\s<>"'=]*+{_ATTRIBUTE}(?:{_ATTRIBUTE}?)*+\s*+/?>|[^<>]{{0,400}}+>)"""
+_TAG = re.compile(TAG)
 _BLOCK_TAG = re.compile(r"</?(?:br|p|div|li|ul|ol|td|tr|th|table|h[1-6]|hr|section|article)\b", re.I)
 # a word cut at the end of a line; the next line may begin with a quote mark
 _HYPHEN = re.compile(r"(?<=\w)[-‐‑]\s*\n[\s>]*(?=\w)")
@@ -22,12 +26,21 @@ _MARKS = re.compile(r"[̀-ͯ᪰-᫿⃐-⃿]")
 _UNSEEN = re.compile(r"[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 
 
+def without_comments(text: str) -> str:
+    """The text without markup comments; one that isn't closed is left."""
+    out, pos = [], 0
+    while (i := text.find("<!--", pos)) >= 0 and (j := text.find("-->", i + 4)) >= 0:
+        out.append(text[pos:i])
+        pos = j + 3
+    return "".join([*out, text[pos:]])
+
+
 def flatten(text: str) -> str:
     """The text without markup, in one character form and case, with look-alike letters folded."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
-        text = _TAG.sub(lambda m: " " if _BLOCK_TAG.match(m.group()) else "", text)
+        text = _TAG.sub(lambda m: " " if _BLOCK_TAG.match(m.group()) else "", without_comments(text))
     if not text.isascii():
         text = _UNSEEN.sub("", text)
         text = unicodedata.normalize("NFKC", text)

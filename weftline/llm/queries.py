@@ -44,21 +44,22 @@ def p7_found(spark, sf_dir):
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id").distinct()
 
 
-def _quality(spark, sf_dir):
-    return quality.text_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+def _structure(spark, sf_dir):
+    return quality.text_structure(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
 
 
 def p8_found(spark, sf_dir):
-    return quality.not_prose(_quality(spark, sf_dir)).select("doc_id")
+    return quality.not_prose(_structure(spark, sf_dir)).select("doc_id")
 
 
 def p8_stats(spark, sf_dir):
     r = [F.round(c, 6).alias(c) for c in ("mean_word_len", "symbol_ratio", "line_punct", "common_share")]
-    return _quality(spark, sf_dir).select("doc_id", "n_words", *r)
+    found = quality.text_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+    return found.select("doc_id", "n_words", *r)
 
 
 def p8_profiles(spark, sf_dir):
-    return _quality(spark, sf_dir).select("doc_id", F.round("outside", 6).alias("outside"), "profile")
+    return _structure(spark, sf_dir).select("doc_id", F.round("outside", 6).alias("outside"), "profile", "language")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_described, p5_found, p5_topk, p6_ids, p7_found, p8_found, p8_stats, p8_profiles)}
