@@ -82,7 +82,8 @@ def test_rollback_clear_and_compact(store, spark):
     before = sorted(map(tuple, s.relations().collect()))
     s.compact()
     assert sorted(map(tuple, s.relations().collect())) == before and s.vector("N", "b") == vec(3)
-    assert s.files.names(f"{s.path}/vectors") == [f"commit={s.commit_no}"]
+    assert s.vacuum() == 0 and s.vacuum(older_than=0) > 0
+    assert len(s.files.names(f"{s.path}/vectors")) == 1 and VectorStore.open(spark, s.path).vector("N", "b") == vec(3)
     tx = s.transaction()
     tx.define_vector("E", "gone", vec(1))
     tx.clear()
@@ -97,7 +98,84 @@ def test_two_writers(store, spark):
     a, b = VectorStore.open(spark, store.path), VectorStore.open(spark, store.path)
     a.set_variable("x", "1")
     with pytest.raises(Exception, match="(?i)exist"):
-        b._mark(b.commit_no + 1, b.base)
+        b.set_variable("x", "2")
+    b.refresh()
+    assert b.variable("x") == "1"
+
+
+@pytest.mark.parametrize("dies_at", ["types", "features", "feature_types", "vectors", "marker"])
+def test_a_commit_that_dies_leaves_no_trace(store, spark, monkeypatch, dies_at):
+    """Killed after any segment or in the middle of the marker: old rows only, and later commits work."""
+    s = filled(store)
+    append, write = VectorStore._append, type(s.files).write_new
+
+    def half(self, name, df, commit):
+        out = append(self, name, df, commit)
+        if name == dies_at:
+            raise KeyboardInterrupt
+        return out
+
+    def torn(self, path, text):
+        write(self, path, text[: len(text) // 2])
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        if dies_at == "marker":
+            m.setattr(type(s.files), "write_new", torn)
+        else:
+            m.setattr(VectorStore, "_append", half)
+        tx = s.transaction()
+        tx.define_vector("ghost", "ghost", vec(1))
+        with pytest.raises(KeyboardInterrupt):
+            tx.commit()
+    for again in (VectorStore.open(spark, s.path), s):
+        again.refresh()
+        assert again.type_no("ghost") == 0 and again.feature_no("ghost") == 0 and again.vector("N", "b") == vec(3)
+    s.set_variable("after", "1")
+    assert VectorStore.open(spark, s.path).type_no("ghost") == 0
+    tx = s.transaction()
+    tx.define_vector("N", "late", vec(7))
+    tx.commit()
+    again = VectorStore.open(spark, s.path)
+    assert again.vector("N", "late") == vec(7) and again.variable("after") == "1" and again.type_no("ghost") == 0 and again.feature_no("late") == 4
+
+
+def test_readers_outlive_a_compaction(store, spark):
+    s = filled(store)
+    reader = VectorStore.open(spark, s.path)
+    frame = reader.vectors("N")
+    s.compact()
+    assert frame.count() == 1 and reader.vector("N", "b") == vec(3)
+
+
+def test_a_batch_that_dies_counts_once(store, spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "N", "s1", vec(1))], "seq bigint, type string, feature string, vec array<float>")
+    mark = VectorStore._mark
+    with monkeypatch.context() as m:
+        m.setattr(VectorStore, "_mark", lambda *a: (_ for _ in ()).throw(RuntimeError("gone")))
+        with pytest.raises(RuntimeError):
+            batch_writer(store, "t")(rows, 0)
+    assert VectorStore.open(spark, store.path).n_vectors("N") == 0
+    batch_writer(store, "t")(rows, 0)
+    commit = store.commit_no
+    batch_writer(store, "t")(rows, 0)
+    again = VectorStore.open(spark, store.path)
+    assert again.commit_no == commit and again.n_vectors("N") == 1 and again.variable("stream:t") == "0" and mark is VectorStore._mark
+
+
+def test_cursor_and_errors(store, spark):
+    s = filled(store)
+    c = s.feature_cursor()
+    assert c.fetch(2) == ["a", "b"] and c.fetch(2) == ["c_1"] and c.fetch(2) == []
+    c.skip("b")
+    assert c.fetch(1) == ["b"] and c.fetch(1) == ["c_1"]
+    c.skip_prefix("c")
+    assert c.fetch(5) == ["c_1"] and c.fetch(5) == []
+    with pytest.raises(Exception, match="no feature with number 99"):
+        s.decode(spark.createDataFrame([(2, 99)], "typeno int, featno int")).collect()
+    s.config = C.create_config("vecdim=300")
+    with pytest.raises(StoreError):
+        s.hash_of("N", "b")
 
 
 def test_scans(store):
@@ -139,7 +217,7 @@ def test_dump(store, tmp_path):
     assert [r.family for r in lines] == sorted(r.family for r in lines) and len({r.family for r in lines}) == 12
     text = [r.line for r in lines]
     assert "type: N 2" in text and "valueinv: 1 b" in text and "firel: 2 1 3" in text and "noffeatno: 3" in text and "nofvec: 2 1" in text
-    assert any(t.startswith("vector: 2 1 ") and t.count(".") == 8 for t in text)
+    assert any(t.startswith("vector: ") and t.count(".") == 8 for t in text) and text.count("lshmodel:") == 1
     dump.write_dump(dump.store_lines(s), f"{tmp_path}/dump")
     got = [line for p in sorted((tmp_path / "dump").glob("part-*")) for line in p.read_text().splitlines()]
     assert got == text

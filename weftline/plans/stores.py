@@ -149,11 +149,11 @@ ORACLE = {
 SELECT 0 AS family, name AS key, 'variable: ' || name || ' ' || value AS line FROM {_VARS}
 UNION ALL SELECT 1, type, 'type: ' || type || ' ' || typeno FROM tn UNION ALL SELECT 2, feature, 'value: ' || feature || ' ' || featno FROM fn
 UNION ALL SELECT 3, printf('%010d', typeno), 'typeinv: ' || typeno || ' ' || type FROM tn UNION ALL SELECT 4, printf('%010d', featno), 'valueinv: ' || featno || ' ' || feature FROM fn
-UNION ALL SELECT 5, printf('%010d%010d', typeno, featno), 'vector: ' || typeno || ' ' || featno || ' ' || {_F6.format("vec")} FROM h
+UNION ALL SELECT 5, printf('%010d%010d', typeno, featno), 'vector: ' || {_F6.format("vec")} FROM h
 UNION ALL SELECT 6, printf('%010d%010d', typeno, featno), 'simhash: ' || typeno || ' ' || featno || ' ' || array_to_string(list_transform(range(0, 7), lambda i: substr(t, CAST(1 + 64 * i AS INT), 64)), '|') FROM h
 UNION ALL SELECT 7, printf('%010d', typeno), 'nofvec: ' || typeno || ' ' || count(*) FROM h GROUP BY typeno
 UNION ALL SELECT 8, '', 'noftypeno: ' || count(*) FROM tn UNION ALL SELECT 9, '', 'noffeatno: ' || count(*) FROM fn
-UNION ALL SELECT 10, printf('%010d', row_no), 'lshmodel: ' || row_no || ' ' || {_F6.format("coeffs")} FROM lsh_model
+UNION ALL SELECT 10, printf('%010d', row_no), {_F6.format("coeffs")} FROM lsh_model UNION ALL SELECT 10, '', 'lshmodel:'
 UNION ALL SELECT 11, printf('%010d', featno), 'firel: ' || featno || ' ' || spaced FROM rel""",
     "stream_ingest": _DEF + "z AS (SELECT 1) SELECT type, count(*) AS n_vectors FROM sv JOIN tn USING (typeno) GROUP BY type",
 }

@@ -27,8 +27,8 @@ def floats(vec: str) -> Column:
 def dump_lines(types: DataFrame, features: DataFrame, relations: DataFrame, vectors: DataFrame, model: DataFrame, variables: DataFrame, bits: int) -> DataFrame:
     """``(family INT, key STRING, line STRING)`` of every row, each once.
 
-    ``key`` orders the lines of a family: names by bytes, numbers with leading zeros. Lines of vectors, hashes and
-    relations name the numbers that they belong to.
+    ``key`` orders the lines of a family: names by bytes, numbers with leading zeros. A vector's line holds its
+    components only; the model is a line with its name and one for each row of its matrix.
     """
 
     def key(*cols: str) -> Column:
@@ -40,12 +40,12 @@ def dump_lines(types: DataFrame, features: DataFrame, relations: DataFrame, vect
         "value": features.select(F.col("feature").alias("key"), _line("value", F.col("feature"), _text("featno")).alias("line")),
         "typeinv": types.select(key("typeno").alias("key"), _line("typeinv", _text("typeno"), F.col("type")).alias("line")),
         "valueinv": features.select(key("featno").alias("key"), _line("valueinv", _text("featno"), F.col("feature")).alias("line")),
-        "vector": vectors.select(key("typeno", "featno").alias("key"), _line("vector", _text("typeno"), _text("featno"), floats("vec")).alias("line")),
+        "vector": vectors.select(key("typeno", "featno").alias("key"), _line("vector", floats("vec")).alias("line")),
         "simhash": vectors.select(key("typeno", "featno").alias("key"), _line("simhash", _text("typeno"), _text("featno"), B.to_text("lsh", bits)).alias("line")),
         "nofvec": vectors.groupBy("typeno").agg(F.count("*").alias("n")).select(key("typeno").alias("key"), _line("nofvec", _text("typeno"), _text("n")).alias("line")),
         "noftypeno": types.agg(F.count("*").alias("n")).select(F.lit("").alias("key"), _line("noftypeno", _text("n")).alias("line")),
         "noffeatno": features.agg(F.count("*").alias("n")).select(F.lit("").alias("key"), _line("noffeatno", _text("n")).alias("line")),
-        "lshmodel": model.select(key("row_no").alias("key"), _line("lshmodel", _text("row_no"), floats("coeffs")).alias("line")),
+        "lshmodel": model.select(key("row_no").alias("key"), floats("coeffs").alias("line")).unionByName(model.limit(1).select(F.lit("").alias("key"), F.lit("lshmodel:").alias("line"))),
         "firel": relations.select(key("featno").alias("key"), _line("firel", _text("featno"), F.array_join(F.transform("typenos", lambda t: t.cast("string")), " ")).alias("line")),
     }
     return reduce(DataFrame.unionByName, [parts[f].select(F.lit(i).alias("family"), "key", "line") for i, f in enumerate(FAMILIES)])

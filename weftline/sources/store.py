@@ -1,10 +1,12 @@
 """A typed vector store in a directory of Parquet segments.
 
-Every commit adds one segment to each table it touches and then a marker file, which makes it visible; nothing that a
-reader sees is rewritten. Readers take the latest row of each key from the segments of visible commits. ``compact``
-merges the segments. Markers are created exclusively, so that of two writers of one commit the second fails.
+Every commit writes segments under names of its own and then a marker file that lists them; nothing that a reader sees is
+rewritten. Readers take segments from markers only, and the latest row of each key from them, so that what a commit
+left behind that died before its marker is never seen, whatever is written later. Markers are created exclusively, so
+that of two writers of one commit the second fails; a marker that was cut off counts as none, and its number isn't used
+again. ``compact`` merges the segments; open readers keep the old ones until ``vacuum`` deletes what is out of use.
 
-Tables (each with the partition column ``commit``)::
+Tables (each with the partition columns ``segment`` and ``commit``)::
 
     types(typeno, type)  features(featno, feature)  feature_types(featno, typeno, pos)
     vectors(typeno, featno, vec, lsh), partitioned by typeno  meta(name, value)  model(row_no, coeffs)
@@ -13,6 +15,8 @@ Tables (each with the partition column ``commit``)::
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -71,12 +75,38 @@ class _Files:
     def delete(self, path: str) -> None:
         self.fs.delete(self.path(path), True)
 
+    def age(self, path: str) -> float:
+        """Seconds since a file or folder was changed."""
+        return time.time() - self.fs.getFileStatus(self.path(path)).getModificationTime() / 1000
+
+
+@dataclass(frozen=True)
+class Marker:
+    """What a commit made visible: its segments, and the commits up to which rows of the other tables no longer count."""
+
+    base: int  # of data: a commit that cleared or merged the store
+    kept: int  # of variables and the model: a commit that merged the store
+    segments: dict[str, str]
+
+    def text(self) -> str:
+        return json.dumps({"base": self.base, "kept": self.kept, "segments": self.segments})
+
+    @classmethod
+    def read(cls, text: str) -> "Marker | None":
+        try:
+            d = json.loads(text)
+            return cls(d["base"], d["kept"], d["segments"])
+        except (ValueError, KeyError, TypeError):
+            return None
+
 
 class VectorStore:
-    def __init__(self, spark: SparkSession, path: str, config: C.StoreConfig, commit: int, base: int):
+    def __init__(self, spark: SparkSession, path: str, config: C.StoreConfig):
         self.spark, self.path, self.config = spark, path.rstrip("/"), config
-        self.commit_no, self.base = commit, base
+        self.commit_no, self.next_no = 0, 1
+        self.base, self.kept = 0, 0
         self.files = _Files(spark, path)
+        self._marks: dict[int, Marker | None] = {}
         self._held: dict[str, DataFrame] = {}
         self._model: lshmodel.LshModel | None = None
 
@@ -86,24 +116,26 @@ class VectorStore:
     def create(cls, spark: SparkSession, path: str, config: str = "", *, seed: int = 1, model: lshmodel.LshModel | None = None) -> "VectorStore":
         """Makes a store with a seeded model (or the one given), its configuration and the types of ``lextypes``."""
         conf = C.create_config(config)
-        store = cls(spark, path, conf, 0, 0)
+        store = cls(spark, path, conf)
         if store.files.names(f"{store.path}/_commits"):
             raise StoreError(f"there is a store in {path}")
         model = model or lshmodel.create_model(conf.vecdim, conf.bits, conf.variations, seed)
         if model.dim != conf.vecdim or model.total_bits != conf.total_bits:
             raise StoreError("the model doesn't fit the configuration")
-        store._append("model", lshmodel.to_frame(spark, model), 1)
-        store._append("meta", spark.createDataFrame([("version", f"{VERSION[0]}.{VERSION[1]}"), ("config", conf.text())], "name string, value string"), 1)
+        parts = {
+            "model": lshmodel.to_frame(spark, model),
+            "meta": spark.createDataFrame([("version", f"{VERSION[0]}.{VERSION[1]}"), ("config", conf.text())], "name string, value string"),
+        }
         if conf.lexer.lextypes:
-            store._append("types", spark.createDataFrame([(i, t) for i, t in enumerate(conf.lexer.lextypes, 1)], "typeno int, type string"), 1)
-        store._mark(1, 0)
+            parts["types"] = spark.createDataFrame([(i, t) for i, t in enumerate(conf.lexer.lextypes, 1)], "typeno int, type string")
+        store._write(parts)
         return store
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, config: str = "") -> "VectorStore":
         """Opens the last commit. Parameters of the model are ignored here (``config.ignored`` lists them)."""
-        store = cls(spark, path, C.StoreConfig(), 0, 0)
-        store._refresh()
+        store = cls(spark, path, C.StoreConfig())
+        store.refresh()
         if not store.commit_no:
             raise StoreError(f"no store in {path}")
         store._check_version(store.variable("version"))
@@ -124,32 +156,53 @@ class VectorStore:
         if major != VERSION[0] or minor > VERSION[1]:
             raise StoreError(f"version {text} can't be read by {VERSION[0]}.{VERSION[1]}")
 
-    def _refresh(self) -> None:
-        marks = [int(n.split(".")[0]) for n in self.files.names(f"{self.path}/_commits") if n.endswith(".json")]
-        self.commit_no = max(marks, default=0)
-        if self.commit_no:
-            self.base = json.loads(self.files.read(f"{self.path}/_commits/{self.commit_no:012d}.json"))["base"]
+    def refresh(self) -> None:
+        """Goes on to the last commit."""
+        seen = [int(n.split(".")[0]) for n in self.files.names(f"{self.path}/_commits") if n.endswith(".json")]
+        for n in seen:
+            if self._marks.get(n) is None:
+                self._marks[n] = Marker.read(self.files.read(f"{self.path}/_commits/{n:012d}.json"))
+        last = max((n for n in seen if self._marks[n]), default=0)
+        if last != self.commit_no:
+            self.release()
+            self._model = None
+        self.commit_no, self.next_no = last, max(seen, default=0) + 1
+        if last:
+            self.base, self.kept = self._marks[last].base, self._marks[last].kept
+
+    def _write(self, parts: dict[str, DataFrame], base: int | None = None, kept: int | None = None) -> int:
+        """Writes the parts as segments of a new commit and makes them visible together."""
+        commit, segments = self.next_no, {}
+        for name, df in parts.items():
+            segments[name] = self._append(name, df, commit)
+        self._mark(commit, Marker(self.base if base is None else base, self.kept if kept is None else kept, segments))
+        return commit
 
-    def _mark(self, commit: int, base: int) -> None:
-        self.files.write_new(f"{self.path}/_commits/{commit:012d}.json", json.dumps({"base": base}))
-        self.commit_no, self.base = commit, base
+    def _mark(self, commit: int, marker: Marker) -> None:
+        self.files.write_new(f"{self.path}/_commits/{commit:012d}.json", marker.text())
+        self._marks[commit] = marker
+        self.commit_no, self.next_no, self.base, self.kept = commit, commit + 1, marker.base, marker.kept
         self.release()
 
-    def _append(self, name: str, df: DataFrame, commit: int) -> None:
-        target = f"{self.path}/{name}/commit={commit}"
+    def _append(self, name: str, df: DataFrame, commit: int) -> str:
+        """Writes a segment, which no marker names yet, and returns its name."""
+        segment = uuid.uuid4().hex[:16]
+        target = f"{self.path}/{name}/segment={segment}/commit={commit}"
         if name == "vectors":
             df.repartition("typeno", F.pmod(F.xxhash64("featno"), F.lit(16))).sortWithinPartitions("typeno", "featno").write.partitionBy("typeno").parquet(target)
         else:
             df.write.parquet(target)
+        return segment
 
     def _table(self, name: str) -> DataFrame:
-        """Rows of a table in visible segments, with their commit."""
-        floor = 0 if name in ("meta", "model") else self.base
-        seen = [int(n.split("=")[1]) for n in self.files.names(f"{self.path}/{name}") if n.startswith("commit=")]
-        if not any(floor < c <= self.commit_no for c in seen):
+        """Rows of a table in the segments of visible commits, with their commit."""
+        floor = self.kept if name in ("meta", "model") else self.base
+        marks = ((c, m) for c, m in sorted(self._marks.items()) if m and floor < c <= self.commit_no and name in m.segments)
+        paths = [f"{self.path}/{name}/segment={m.segments[name]}/commit={c}" for c, m in marks]
+        if not paths:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        df = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
-        return df.where((F.col("commit") > floor) & (F.col("commit") <= self.commit_no))
+        df = self.spark.read.schema(SCHEMAS[name]).option("basePath", f"{self.path}/{name}").parquet(*paths)
+        return df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")])
 
     # -- metadata -------------------------------------------------------------------------------------------------
 
@@ -172,9 +225,7 @@ class VectorStore:
         return row["value"] if row else ""
 
     def set_variable(self, name: str, value: str) -> None:
-        commit = self.commit_no + 1
-        self._append("meta", self.spark.createDataFrame([(name, value)], "name string, value string"), commit)
-        self._mark(commit, self.base)
+        self._write({"meta": self.spark.createDataFrame([(name, value)], "name string, value string")})
 
     def config_text(self) -> str:
         return self.variable("config")
@@ -196,6 +247,9 @@ class VectorStore:
     def feature_prefix(self, prefix: str) -> DataFrame:
         return self.features().where(F.col("feature").startswith(prefix)).orderBy("feature")
 
+    def feature_cursor(self) -> "FeatureCursor":
+        return FeatureCursor(self)
+
     def feature_page(self, n: int, after: str | None = None, prefix: str = "") -> list[str]:
         """The next ``n`` names after the last one read: pages need no cursor on the server."""
         df = self.features()
@@ -231,7 +285,13 @@ class VectorStore:
         return out.withColumns({"typeno": F.coalesce("typeno", F.lit(0)), "featno": F.coalesce("featno", F.lit(0))})
 
     def decode(self, numbered: DataFrame) -> DataFrame:
-        return numbered.join(F.broadcast(self.types()), "typeno").join(self.features(), "featno")
+        """``(typeno, featno)`` columns to ``(type, feature)``; an unknown number is an error when rows are read."""
+        out = numbered.join(F.broadcast(self.types()), "typeno", "left").join(self.features(), "featno", "left")
+
+        def known(name: str, no: str):
+            return F.when(F.col(name).isNotNull(), F.col(name)).otherwise(F.raise_error(F.concat(F.lit(f"no {name} with number "), F.col(no).cast("string"))))
+
+        return out.withColumns({"type": known("type", "typeno"), "feature": known("feature", "featno")})
 
     def relations(self) -> DataFrame:
         """``(featno, typenos ARRAY<INT>)`` in the order in which they were defined."""
@@ -268,13 +328,16 @@ class VectorStore:
         return df if n is None else df.limit(n)
 
     def hash_of(self, type_name: str, feature: str) -> list[int] | None:
+        """The hash of a feature, null if it has none; one that isn't of the model's size is an error."""
         row = self.vectors(type_name).where(F.col("featno") == self.feature_no(feature)).first()
+        if row and len(row["lsh"] or []) != self.config.words:
+            raise StoreError(f"corrupt hash of {feature!r} in {type_name!r}")
         return row["lsh"] if row else None
 
     def feature_at(self, type_name: str, position: int) -> int:
         """The number of the ``position``-th vector (from 0) of a type, 0 if there are fewer."""
-        rows = self.vectors(type_name).select("featno").orderBy("featno").limit(position + 1).collect()
-        return rows[position]["featno"] if 0 <= position < len(rows) else 0
+        row = self.vectors(type_name).select("featno").orderBy("featno").offset(position).limit(1).first() if position >= 0 else None
+        return row["featno"] if row else 0
 
     def vector(self, type_name: str, feature: str) -> list[float]:
         """The vector of a feature, empty if there is none."""
@@ -316,9 +379,8 @@ class VectorStore:
         return Transaction(self)
 
     def compact(self) -> None:
-        """Merges all segments into one and deletes the old ones."""
-        commit, base = self.commit_no + 1, self.commit_no
-        if commit >= 1 << 22:
+        """Merges all segments into one of each table. The old ones stay for readers that are open (:meth:`vacuum`)."""
+        if self.next_no >= 1 << 22:
             raise StoreError("too many commits")
         merged = {
             "types": self.types(),
@@ -328,15 +390,32 @@ class VectorStore:
             "meta": self.variables(),
             "model": self._table("model").select("row_no", "coeffs"),
         }
-        for name, df in merged.items():
-            self._append(name, df, commit)
-        old = {name: [n for n in self.files.names(f"{self.path}/{name}") if n.startswith("commit=") and int(n.split("=")[1]) < commit] for name in SCHEMAS}
-        self._mark(commit, base)
-        for name, segments in old.items():
-            for n in segments:
-                self.files.delete(f"{self.path}/{name}/{n}")
+        before = self.next_no - 1
+        self._write(merged, before, before)
         self._model = None
 
+    def vacuum(self, older_than: float = 7 * 24 * 3600) -> int:
+        """Deletes segments and markers that the last commit doesn't need, if they are older than so many seconds.
+
+        Returns the number of segments deleted. Readers that were opened before the commit which put them out of use
+        can't read on, and what a running commit has written must be younger.
+        """
+        self.refresh()
+        live = {(name, s) for c, m in self._marks.items() if m for name, s in m.segments.items() if c > (self.kept if name in ("meta", "model") else self.base)}
+        gone = 0
+        for name in SCHEMAS:
+            for n in self.files.names(f"{self.path}/{name}"):
+                path = f"{self.path}/{name}/{n}"
+                if n.startswith("segment=") and (name, n[8:]) not in live and self.files.age(path) >= older_than:
+                    self.files.delete(path)
+                    gone += 1
+        for c in [c for c in self._marks if c <= min(self.base, self.kept)]:
+            path = f"{self.path}/_commits/{c:012d}.json"
+            if self.files.age(path) >= older_than:
+                self.files.delete(path)
+                del self._marks[c]
+        return gone
+
     def release(self) -> None:
         for df in self._held.values():
             df.unpersist()
@@ -352,6 +431,30 @@ class VectorStore:
         return self.vectors().select("typeno", "featno", B.to_text("lsh", self.model().total_bits).alias("bits"))
 
 
+class FeatureCursor:
+    """A position in the names of the features, in byte order: no state lies anywhere but here."""
+
+    def __init__(self, store: VectorStore):
+        self.store, self.start, self.after, self.prefix = store, "", None, ""
+
+    def skip(self, name: str) -> None:
+        """Goes to the first name that isn't below ``name``."""
+        self.start, self.after, self.prefix = name, None, ""
+
+    def skip_prefix(self, prefix: str) -> None:
+        """Goes to the first name with the prefix; only such names follow."""
+        self.start, self.after, self.prefix = prefix, None, prefix
+
+    def fetch(self, n: int) -> list[str]:
+        """The next ``n`` names, fewer at the end."""
+        df = self.store.features().where(F.col("feature") >= self.start if self.after is None else F.col("feature") > self.after)
+        if self.prefix:
+            df = df.where(F.col("feature").startswith(self.prefix))
+        names = [r["feature"] for r in df.select("feature").orderBy("feature").limit(n).collect()]
+        self.after = names[-1] if names else self.after
+        return names
+
+
 @dataclass
 class Transaction:
     """Definitions that a commit writes together. Later definitions of a key in it replace earlier ones."""
@@ -360,6 +463,11 @@ class Transaction:
     rows: list[tuple] = field(default_factory=list)
     frames: list[DataFrame] = field(default_factory=list)
     cleared: bool = False
+    variables: dict[str, str] = field(default_factory=dict)
+
+    def set_variable(self, name: str, value: str) -> None:
+        """A variable of the store that becomes visible with the definitions."""
+        self.variables[name] = value
 
     def define_type(self, name: str) -> None:
         self.rows.append((len(self.rows), name, None, None))
@@ -386,6 +494,7 @@ class Transaction:
     def rollback(self) -> None:
         self.rows.clear()
         self.frames.clear()
+        self.variables.clear()
         self.cleared = False
 
     def commit(self) -> int:
@@ -397,35 +506,40 @@ class Transaction:
         """
         s, spark = self.store, self.store.spark
         cut = Cut(spark, "commit")
-        parts = list(self.frames)
+        frames = list(self.frames)
         if self.rows:
-            parts.append(spark.createDataFrame(self.rows, DEFINITIONS))
-        if not parts and not self.cleared:
+            frames.append(spark.createDataFrame(self.rows, DEFINITIONS))
+        if not frames and not self.cleared and not self.variables:
             return s.commit_no
+        parts: dict[str, DataFrame] = {}
+        base = s.base
         if self.cleared:
-            s = VectorStore(spark, s.path, s.config, s.commit_no, s.commit_no)
-        commit = s.commit_no + 1
-        defs = parts[0] if parts else spark.createDataFrame([], DEFINITIONS)
-        for p in parts[1:]:
+            s = VectorStore(spark, s.path, s.config)
+            s._marks, s.commit_no, s.kept = self.store._marks, self.store.commit_no, self.store.kept
+            s.base = base = self.store.next_no - 1
+        if self.variables:
+            parts["meta"] = spark.createDataFrame(list(self.variables.items()), "name string, value string")
+        if frames:
+            parts |= self._parts(s, cut, frames)
+        commit = self.store._write(parts, base)
+        self.rollback()
+        return commit
+
+    def _parts(self, s: VectorStore, cut: Cut, frames: list[DataFrame]) -> dict[str, DataFrame]:
+        defs = frames[0]
+        for p in frames[1:]:
             defs = defs.unionByName(p)
         defs = cut.keep(defs.where(F.col("type").isNotNull()))
-
         types = cut.keep(encode_names(cut, s.types(), defs, "type", "typeno", "seq"))
         features = cut.keep(encode_names(cut, s.features(), defs, "feature", "featno", "seq"))
-        s._append("types", types.join(s.types().select("typeno"), "typeno", "left_anti"), commit)
-        s._append("features", features.join(s.features().select("featno"), "featno", "left_anti"), commit)
-
         coded = cut.keep(defs.where(F.col("feature").isNotNull()).join(F.broadcast(types), "type").join(features, "feature").select("seq", "typeno", "featno", "vec"))
         known = s._table("feature_types").select("featno", "typeno")
-        added = coded.groupBy("featno", "typeno").agg(F.min("seq").alias("pos")).join(known, ["featno", "typeno"], "left_anti")
-        s._append("feature_types", added, commit)
-
         dim = s.config.vecdim
         usable = (F.size("vec") == dim) & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
         last = latest(coded.where(usable), ["typeno", "featno"], ["seq"], ["seq", "vec"]).drop("seq")
-        s._append("vectors", lshmodel.hash_vectors(last, s.model()).select("featno", "vec", "lsh", "typeno"), commit)
-        s._mark(commit, s.base)
-        self.store.commit_no, self.store.base = s.commit_no, s.base
-        self.store.release()
-        self.rollback()
-        return commit
+        return {
+            "types": types.join(s.types().select("typeno"), "typeno", "left_anti"),
+            "features": features.join(s.features().select("featno"), "featno", "left_anti"),
+            "feature_types": coded.groupBy("featno", "typeno").agg(F.min("seq").alias("pos")).join(known, ["featno", "typeno"], "left_anti"),
+            "vectors": lshmodel.hash_vectors(last, s.model()).select("featno", "vec", "lsh", "typeno"),
+        }

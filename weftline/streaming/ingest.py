@@ -9,21 +9,22 @@ from weftline.sources.store import VectorStore
 
 
 def batch_writer(store: VectorStore, name: str):
-    """A ``foreachBatch`` function that commits each batch once.
+    """A ``foreachBatch`` function that commits each batch exactly once.
 
-    The number of the last batch is kept as a variable of the store, so that a batch that runs again after a failure
-    is left out if its commit had been made.
+    The number of the last batch is a variable of the store that is written in the batch's own commit, so that a batch
+    that runs again after a failure is left out if its commit had been made, and made if not.
     """
     key = f"stream:{name}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        store.refresh()
         done = store.variable(key)
         if done and int(done) >= batch_id:
             return
         tx = store.transaction()
         tx.define_frame(batch)
+        tx.set_variable(key, str(batch_id))
         tx.commit()
-        store.set_variable(key, str(batch_id))
 
     return write
 
