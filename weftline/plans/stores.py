@@ -97,20 +97,90 @@ def stream_ingest(spark, sf_dir):
     return out.vectors().groupBy("typeno").agg(F.count("*").alias("n_vectors")).join(out.types(), "typeno").select("type", "n_vectors")
 
 
+def _rows(spark, rows):
+    return spark.createDataFrame([(str(k), str(v)) for k, v in rows], "what string, value string")
+
+
+def store_recovery(spark, sf_dir):
+    """A store after a commit that died before its marker, one rolled back, a variable, and a compaction under an open reader."""
+    s = VectorStore.create(spark, shared_path(spark, "store"), "vecdim=64;lextypes=T2,T1", model=lshmodel.from_frame(table(spark, sf_dir, "lsh_model")))
+    tx = s.transaction()
+    tx.define_frame(definitions(spark, sf_dir).where(F.col("type").isin("T1", "T2", "T3")))
+    tx.define_type("T9")
+    tx.commit()
+    s._append("types", spark.createDataFrame([(99, "ghost")], "typeno int, type string"), s.next_no)  # no marker follows
+    undone = s.transaction()
+    undone.define_vector("T1", "undone", [1.0] * 64)
+    undone.rollback()
+    undone.commit()
+    s.set_variable("after", "crash")
+    reader = VectorStore.open(spark, s.path)
+    held = reader.vectors().groupBy("typeno").count()
+    s.compact()
+    merged = VectorStore.open(spark, s.path, "vecdim=7")
+    cleared = s.transaction()
+    cleared.clear()
+    cleared.define_type("T5")
+    cleared.commit()
+    empty = VectorStore.open(spark, s.path) if not s.config.lexer.lextypes else s
+    named = [("reader", held.join(reader.types(), "typeno")), ("merged", merged.vectors().groupBy("typeno").count().join(merged.types(), "typeno"))]
+    rows = [(f"{k} {r['type']}", r["count"]) for k, df in named for r in df.collect()]
+    rows += [("types", ",".join(r["type"] for r in merged.list_types().collect())), ("first", f"{merged.type_no('T2')},{merged.type_no('T1')}"), ("undone", merged.feature_no("undone")), ("after", merged.variable("after")), ("ignored", ",".join(merged.config.ignored)), ("dim", merged.config.vecdim)]
+    rows += [("cleared", ",".join(r["type"] for r in empty.list_types().collect())), ("left", empty.n_vectors() + empty.n_features()), ("kept", empty.variable("after"))]
+    return _rows(spark, rows)
+
+
+def store_points(spark, sf_dir):
+    """Point reads: seek, cursor, numbers and names both ways, one vector and hash, the held type, positions."""
+    s = store(spark, sf_dir)
+    cursor = s.feature_cursor()
+    cursor.skip_prefix("le")
+    pages = cursor.fetch(3) + cursor.fetch(4)
+    cursor.skip("m")
+    at = s.feature_at("T1", 3)
+    name = s.feature_name(at)
+    one = s.encode(spark.createDataFrame([("T1", name), ("no such", "no such")], "type string, feature string")).orderBy(F.desc("featno")).collect()
+    s.prepare("T1")
+    held = s.hashes("T1", at, 1).first()
+    best = s.find_similar("T1", s.vector("T1", name), 1, 0.9, real_weights=True).first()
+    rows = [
+        ("seek", s.feature_seek("m").feature), ("prefix", ",".join(pages)), ("skip", ",".join(cursor.fetch(2))), ("at", at), ("beyond", s.feature_at("T1", 10**6)), ("name", name), ("type", s.type_name(s.type_no("T1"))),
+        ("encoded", f"{one[0].typeno},{one[0].featno},{one[1].typeno},{one[1].featno}"), ("first", round(s.vector("T1", name)[0], 5)), ("hash", s.hash_of("T1", name)[0]), ("held", f"{held.featno},{held.lsh[0]}"),
+        ("none", len(s.vector("T1", "no such"))), ("types", ",".join(s.feature_types(name))), ("counts", f"{s.n_types()},{s.n_features()},{s.n_vectors('T1')}"), ("weight", round(best.weight, 4)),
+    ]
+    s.release()
+    return _rows(spark, rows)
+
+
+def model_matrix(spark, sf_dir):
+    """The base matrix, seeded rotations, and a model written and read back."""
+    base = lshmodel.base_matrix(64, 12)
+    rows = [(r, c, float(round(v, 9))) for r, line in enumerate(base) for c, v in enumerate(line)]
+    model, again = lshmodel.create_model(64, 12, 3, 5), lshmodel.create_model(64, 12, 3, 5)
+    path = shared_path(spark, "model")
+    lshmodel.to_frame(spark, model).write.parquet(path)
+    kept = lshmodel.from_frame(spark.read.parquet(path))
+    checks = [model.equals(again), kept.equals(model), not model.equals(lshmodel.create_model(64, 12, 3, 6)), kept.matrix.shape == (36, 64), kept.total_bits == 36 and kept.words == 1]
+    rows += [(-1, i, float(ok)) for i, ok in enumerate(checks)]
+    return spark.createDataFrame(rows, "row_no int, col_no int, value double")
+
+
 def _lexer_queries(s):
     f = s.features()
     after = f.select((F.col("featno") - 1).alias("featno"), F.col("feature").alias("next"))
     pair = F.concat_ws("_", "feature", "next")
-    return f.join(after, "featno", "left").select(F.col("featno").cast("bigint").alias("query_id"), F.array(pair, F.lit("unheard_of")).alias("fields"), F.lit(5).alias("n"), F.lit(0.5).alias("min_weight"))
+    return f.join(after, "featno", "left").select(F.col("featno").cast("bigint").alias("query_id"), F.array(pair, F.lit("unheard_of")).alias("fields"), F.lit(-1).alias("n"), F.lit(0.5).alias("min_weight"))
 
 
 def sentence_guesses(spark, sf_dir):
     """Each feature's name and the next, read back by the lexer beside two unknown words."""
     s = store(spark, sf_dir)
-    return lexer.lex(_lexer_queries(s), s.features(), s.relations(), s.types(), s.vectors(), LexerConfig(lextypes={"T1": 0, "T2": 0, "T3": 1, "T4": 2}, coversim=0.8))
+    found = lexer.lex(_lexer_queries(s), s.features(), s.relations(), s.types(), s.vectors(), LexerConfig(lextypes={"T1": 0, "T2": 0, "T3": 1, "T4": 2}, coversim=0.8))
+    terms = F.array_join(F.transform("terms", lambda t: F.concat(t["type"], F.lit(":"), t["value"])), " ")
+    return found.select("query_id", terms.alias("terms"), F.round("weight", 5).alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (store_types, store_features, store_variables, store_relations, store_counts, store_vectors, feature_prefix_scan, feature_page, hash_range, dump_text, stream_ingest, sentence_guesses)}
+QUERIES = {f.__name__: f for f in (store_types, store_features, store_variables, store_relations, store_counts, store_vectors, feature_prefix_scan, feature_page, hash_range, dump_text, stream_ingest, store_recovery, store_points, model_matrix, sentence_guesses)}
 
 _DEF = """
 WITH d AS (SELECT DISTINCT v.seq, t.type, f.feature, v.vec FROM vectors v JOIN types t USING (typeno) JOIN (SELECT DISTINCT featno, feature FROM features) f USING (featno)),
@@ -155,5 +225,27 @@ UNION ALL SELECT 7, printf('%010d', typeno), 'nofvec: ' || typeno || ' ' || coun
 UNION ALL SELECT 8, '', 'noftypeno: ' || count(*) FROM tn UNION ALL SELECT 9, '', 'noffeatno: ' || count(*) FROM fn
 UNION ALL SELECT 10, printf('%010d', row_no), {_F6.format("coeffs")} FROM lsh_model UNION ALL SELECT 10, '', 'lshmodel:'
 UNION ALL SELECT 11, printf('%010d', featno), 'firel: ' || featno || ' ' || spaced FROM rel""",
+    "store_recovery": _DEF
+    + """d3 AS (SELECT typeno, featno, type, vec FROM c JOIN tn USING (typeno) WHERE type IN ('T1', 'T2', 'T3')),
+n AS (SELECT type, count(*) AS n FROM sv JOIN tn USING (typeno) WHERE type IN ('T1', 'T2', 'T3') GROUP BY type)
+SELECT k || ' ' || type AS what, CAST(n AS VARCHAR) AS value FROM n, (VALUES ('reader'), ('merged')) AS v(k)
+UNION ALL SELECT * FROM (VALUES ('types', 'T1,T2,T3,T9'), ('first', '1,2'), ('undone', '0'), ('after', 'crash'), ('ignored', 'vecdim'), ('dim', '64'), ('cleared', 'T5'), ('left', '0'), ('kept', 'crash')) AS x(what, value)""",
+    "store_points": _SH
+    + f"""t1 AS (SELECT typeno FROM tn WHERE type = 'T1'),
+p AS (SELECT featno, feature, vec, {_WORD0} FROM h JOIN fn USING (featno) WHERE typeno = (SELECT typeno FROM t1) ORDER BY featno LIMIT 1 OFFSET 3),
+z AS (SELECT 1)
+SELECT 'seek' AS what, min(feature) AS value FROM fn WHERE feature >= 'm'
+UNION ALL SELECT 'prefix', string_agg(feature, ',' ORDER BY feature) FROM (SELECT feature FROM fn WHERE starts_with(feature, 'le') ORDER BY feature LIMIT 7)
+UNION ALL SELECT 'skip', string_agg(feature, ',' ORDER BY feature) FROM (SELECT feature FROM fn WHERE feature >= 'm' ORDER BY feature LIMIT 2)
+UNION ALL SELECT 'at', CAST(featno AS VARCHAR) FROM p UNION ALL SELECT 'name', feature FROM p
+UNION ALL SELECT 'encoded', (SELECT typeno FROM t1) || ',' || featno || ',0,0' FROM p
+UNION ALL SELECT 'first', CAST(round(vec[1], 5) AS VARCHAR) FROM p UNION ALL SELECT 'hash', CAST(word0 AS VARCHAR) FROM p UNION ALL SELECT 'held', featno || ',' || word0 FROM p
+UNION ALL SELECT 'types', string_agg(type, ',' ORDER BY pos, typeno) FROM (SELECT c.typeno, type, min(seq) AS pos FROM c JOIN p USING (featno) JOIN tn ON tn.typeno = c.typeno GROUP BY 1, 2)
+UNION ALL SELECT 'counts', (SELECT count(*) FROM tn) || ',' || (SELECT count(*) FROM fn) || ',' || (SELECT count(*) FROM h WHERE typeno = (SELECT typeno FROM t1))
+UNION ALL SELECT * FROM (VALUES ('beyond', '0'), ('type', 'T1'), ('none', '0'), ('weight', '1.0')) AS x(what, value)""",
+    "model_matrix": """
+WITH r AS (SELECT r, CAST(floor(r * (64 / 12)) AS INT) AS lo, CASE WHEN r = 11 THEN 64 ELSE CAST(floor((r + 1) * (64 / 12)) AS INT) END AS hi FROM range(0, 12) t(r))
+SELECT CAST(r AS INT) AS row_no, CAST(c AS INT) AS col_no, round(CASE WHEN c >= lo AND c < hi THEN 1 / (hi - lo) ELSE -1 / (64 - (hi - lo)) END, 9) AS value FROM r, range(0, 64) s(c)
+UNION ALL SELECT -1, CAST(i AS INT), 1.0 FROM range(0, 5) u(i)""",
     "stream_ingest": _DEF + "z AS (SELECT 1) SELECT type, count(*) AS n_vectors FROM sv JOIN tn USING (typeno) GROUP BY type",
 }
