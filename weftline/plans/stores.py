@@ -169,11 +169,11 @@ def _lexer_queries(s):
     f = s.features()
     after = f.select((F.col("featno") - 1).alias("featno"), F.col("feature").alias("next"))
     pair = F.concat_ws("_", "feature", "next")
-    return f.join(after, "featno", "left").select(F.col("featno").cast("bigint").alias("query_id"), F.array(pair, F.lit("unheard_of")).alias("fields"), F.lit(-1).alias("n"), F.lit(0.5).alias("min_weight"))
+    return f.join(after, "featno", "left").select(F.col("featno").cast("bigint").alias("query_id"), F.array(pair, F.lit(""), F.concat("feature", F.lit("_of"))).alias("fields"), F.lit(-1).alias("n"), F.lit(0.5).alias("min_weight"))
 
 
 def sentence_guesses(spark, sf_dir):
-    """Each feature's name and the next, read back by the lexer beside two unknown words."""
+    """Each feature's name and the next, an empty field, and the first name again before an unknown word, read by the lexer."""
     s = store(spark, sf_dir)
     found = lexer.lex(_lexer_queries(s), s.features(), s.relations(), s.types(), s.vectors(), LexerConfig(lextypes={"T1": 0, "T2": 0, "T3": 1, "T4": 2}, coversim=0.8))
     terms = F.array_join(F.transform("terms", lambda t: F.concat(t["type"], F.lit(":"), t["value"])), " ")
@@ -204,6 +204,42 @@ _CONFIG = "vecdim=64;bits=32;variations=13;coversim=0.8;recall=0.8;spacesb=_;lin
 _VARS = f"(SELECT * FROM (VALUES ('version', '1.0'), ('config', '{_CONFIG}'), ('origin', 'test tables')) AS x(name, value))"
 _F6 = "array_to_string(list_transform({0}, lambda x: printf('%.6f', CAST(x AS DOUBLE))), ' ')"
 
+# the lexer by recursion: all readings of each field, their types, all sentences, and the greedy cover of each
+_LEXER = _DEF.replace("WITH d AS", "WITH RECURSIVE d AS", 1) + """
+q AS (SELECT a.featno AS query_id, a.feature, a.feature || coalesce('_' || b.feature, '') AS pair FROM fn a LEFT JOIN fn b ON b.featno = a.featno + 1),
+fields AS (SELECT query_id, 1 AS k, pair AS t FROM q UNION ALL SELECT query_id, 2, feature || '_of' FROM q),
+pos AS (SELECT query_id, k, t, p, substr(t, p + 1, 1) IN ('_', '-') AS sep, p = 0 OR substr(t, p, 1) IN ('_', '-') AS head FROM (SELECT *, unnest(range(0, length(t))) AS p FROM fields)),
+ends AS (SELECT query_id, k, p AS e FROM pos WHERE p > 0 AND sep UNION ALL SELECT query_id, k, length(t) FROM fields),
+span AS (SELECT query_id, k, t, p, e, substr(t, p + 1, e - p) AS s FROM pos JOIN ends USING (query_id, k) WHERE (sep OR head) AND p < e
+  UNION ALL SELECT query_id, k, t, p, length(t), substr(t, p + 1) || '-' FROM pos WHERE sep OR head),
+move AS (SELECT query_id, k, p, e + CASE WHEN substr(t, e + 1, 1) IN ('_', '-') THEN 1 ELSE 0 END AS nxt, 0 AS u, ['F' || featno] AS item FROM span JOIN fn ON replace(s, '-', '_') = replace(feature, '-', '_')
+  UNION ALL SELECT query_id, k, p, p + 1, 0, [] FROM pos WHERE sep
+  UNION ALL SELECT query_id, k, p, e + CASE WHEN substr(t, e + 1, 1) IN ('_', '-') THEN 1 ELSE 0 END, 1, ['W' || substr(t, p + 1, e - p)]
+    FROM (SELECT query_id, k, t, p, min(e) AS e FROM pos JOIN ends USING (query_id, k) WHERE NOT sep AND e > p GROUP BY ALL)),
+way AS (SELECT query_id, k, CAST(0 AS BIGINT) AS at, 0 AS un, CAST([] AS VARCHAR[]) AS items FROM fields
+  UNION ALL SELECT w.query_id, w.k, m.nxt, w.un + m.u, list_concat(w.items, m.item) FROM way w JOIN move m ON m.query_id = w.query_id AND m.k = w.k AND m.p = w.at),
+full_way AS (SELECT DISTINCT w.query_id, w.k, un, items FROM way w JOIN fields f ON f.query_id = w.query_id AND f.k = w.k AND w.at >= length(f.t)),
+least AS (SELECT *, min(un) OVER (PARTITION BY query_id, k) AS lu FROM full_way),
+reading AS (SELECT query_id, k, items FROM (SELECT *, min(len(items)) OVER (PARTITION BY query_id, k) AS ls FROM least WHERE un = lu) WHERE len(items) <= ls + 1),
+prio AS (SELECT typeno, type, p FROM tn JOIN (VALUES ('T1', 0), ('T2', 0), ('T3', 1), ('T4', 2)) AS x(type, p) USING (type)),
+kind AS (SELECT featno, typeno, type FROM (SELECT *, min(p) OVER (PARTITION BY featno) AS best FROM (SELECT DISTINCT featno, typeno FROM c) JOIN prio USING (typeno)) WHERE p = best),
+opt AS (SELECT 'F' || featno AS item, coalesce(type, '') || ':' || feature AS term, coalesce(typeno, 0) AS typeno, featno FROM fn LEFT JOIN kind USING (featno)
+  UNION SELECT DISTINCT i, ':' || substr(i, 2), 0, 0 FROM (SELECT unnest(items) AS i FROM reading) WHERE starts_with(i, 'W')),
+var AS (SELECT query_id, k, items, 0 AS n, CAST([] AS VARCHAR[]) AS terms FROM reading
+  UNION ALL SELECT v.query_id, v.k, v.items, v.n + 1, list_append(v.terms, o.term) FROM var v JOIN opt o ON o.item = v.items[v.n + 1] WHERE v.n < len(v.items)),
+done AS (SELECT DISTINCT query_id, k, terms FROM var WHERE n = len(items)),
+sent AS (SELECT DISTINCT a.query_id, list_concat(a.terms, b.terms) AS terms FROM done a JOIN done b ON b.query_id = a.query_id AND a.k = 1 AND b.k = 2),
+term AS (SELECT DISTINCT query_id, x.term, o.typeno, o.featno FROM (SELECT query_id, unnest(terms) AS term FROM sent) x JOIN opt o USING (term)),
+tv AS (SELECT query_id, term, vec FROM term JOIN sv USING (typeno, featno)),
+near AS (SELECT a.query_id, a.term, b.term AS other FROM tv a JOIN tv b ON a.query_id = b.query_id WHERE list_cosine_similarity(a.vec, b.vec) > 0.8 AND isfinite(list_cosine_similarity(a.vec, b.vec)) UNION SELECT query_id, term, term FROM term),
+grp AS (SELECT query_id, term, list(other) AS g FROM near GROUP BY ALL),
+one AS (SELECT query_id, terms, unnest(terms) AS term FROM sent),
+cov AS (SELECT query_id, terms, list(g) AS rest, 0 AS n FROM one JOIN grp USING (query_id, term) GROUP BY ALL
+  UNION ALL SELECT query_id, terms, list_filter(rest, lambda g: NOT list_contains(g, top)), n + 1 FROM (
+    SELECT *, (list_sort(list_transform(list_distinct(flatten(rest)), lambda x: {'c': -len(list_filter(flatten(rest), lambda y: y = x)), 'x': x}))[1]).x AS top FROM cov WHERE len(rest) > 0)),
+w AS (SELECT query_id, terms, 1.3 / (n + (len(terms) - len(list_distinct(terms))) + 0.3 * len(terms)) AS w FROM cov WHERE len(rest) = 0),
+"""
+
 ORACLE = {
     "store_types": _DEF + "z AS (SELECT 1) SELECT typeno, type FROM tn",
     "store_features": _DEF + "z AS (SELECT 1) SELECT featno, feature FROM fn",
@@ -247,5 +283,8 @@ UNION ALL SELECT * FROM (VALUES ('beyond', '0'), ('type', 'T1'), ('none', '0'),
 WITH r AS (SELECT r, CAST(floor(r * (64 / 12)) AS INT) AS lo, CASE WHEN r = 11 THEN 64 ELSE CAST(floor((r + 1) * (64 / 12)) AS INT) END AS hi FROM range(0, 12) t(r))
 SELECT CAST(r AS INT) AS row_no, CAST(c AS INT) AS col_no, round(CASE WHEN c >= lo AND c < hi THEN 1 / (hi - lo) ELSE -1 / (64 - (hi - lo)) END, 9) AS value FROM r, range(0, 64) s(c)
 UNION ALL SELECT -1, CAST(i AS INT), 1.0 FROM range(0, 5) u(i)""",
+    "sentence_guesses": _LEXER
+    + """top AS (SELECT *, w / max(w) OVER (PARTITION BY query_id) AS weight FROM w)
+SELECT CAST(query_id AS BIGINT) AS query_id, array_to_string(terms, ' ') AS terms, round(weight, 5) AS weight FROM top WHERE weight > 0.5 + 1.2e-7""",
     "stream_ingest": _DEF + "z AS (SELECT 1) SELECT type, count(*) AS n_vectors FROM sv JOIN tn USING (typeno) GROUP BY type",
 }
