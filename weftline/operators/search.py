@@ -107,7 +107,9 @@ def search(vectors: DataFrame, queries: DataFrame, *, bits: int, k: int, min_sim
     if prefilter:
         near = _tightened(candidates(vectors, queries, lim), lim, ranks).where(F.col("dist") <= lim.simdist)
     else:
-        near = _pairs(vectors, queries, lim.words, _dist(lim.words) <= lim.simdist, [_dist(lim.words).alias("dist")])
+        v = vectors.select("typeno", "featno", F.array(*B.words_of("lsh", lim.words)).alias("words"))
+        q = queries.select("typeno", "query_id", F.array(*B.words_of("lsh", lim.words)).alias("words"))
+        near = _tiles(v, q, lambda d: d <= lim.simdist, "dist", ranks)
     found = _top(near.select("query_id", "typeno", "featno", "dist"), ranks, "dist", "featno")
     found = found.withColumn("weight", V.weight_of("dist", bits))
     return found.where((F.col("rank") <= ranks) & (F.col("weight") > min_sim))
@@ -173,6 +175,46 @@ def reranked(vectors: DataFrame, queries: DataFrame, *, bits: int, k: int, min_s
     return _top(exact.where(F.col("weight") > min_sim), k, F.desc("weight"), F.desc("featno"))
 
 
+def _tiles(vectors: DataFrame, queries: DataFrame, keep, name: str, k: int | None = None) -> DataFrame:
+    """Distances of all vectors of a query's type that ``keep`` takes: ``(query_id, typeno, featno, <name> INT)``.
+
+    Both have ``words``. As in :func:`exact_topk` each pair of blocks is one task's: words are laid side by side and
+    differences counted for whole tiles. With ``k`` a tile gives a query's ``k`` nearest only, ties to the smaller
+    ``featno``.
+    """
+    schema = pa.schema([("query_id", pa.int64()), ("typeno", pa.int32()), ("featno", pa.int32()), (name, pa.int32())])
+
+    def words(column: pa.ChunkedArray) -> np.ndarray:
+        return np.ascontiguousarray(np.asarray(column.combine_chunks().flatten()).reshape(len(column), -1).T.astype(np.int64)).view(np.uint64)
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        if not vectors.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        feat, ids = np.asarray(vectors["featno"]), np.asarray(queries["q_id"])
+        order = np.argsort(feat, kind="stable")
+        feat, x, y = feat[order], words(vectors["vec"])[:, order], words(queries["q_vec"])
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
+        block = max(1, (1 << 20) // len(feat))
+        for s in range(0, len(ids), block):
+            dist = np.zeros((min(block, len(ids) - s), len(feat)), dtype=np.uint16)
+            for w in range(len(x)):
+                dist += np.bitwise_count(y[w, s : s + block, None] ^ x[w])
+            row, col = np.nonzero(keep(dist))
+            got = dist[row, col].astype(np.int64)
+            if k is not None and len(row):
+                by = np.lexsort((col, got, row))
+                row, col, got = row[by], col[by], got[by]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col, got = row[best], col[best], got[best]
+            out.append((ids[s + row], feat[col], got))
+        q, f, d = (np.concatenate(p) for p in zip(*out, strict=True))
+        typ = np.full(len(q), vectors["typeno"][0].as_py(), np.int32)
+        return pa.table([pa.array(q.astype(np.int64)), pa.array(typ), pa.array(f.astype(np.int32)), pa.array(d.astype(np.int32))], schema=schema)
+
+    grouped = _block_pairs(vectors.select("typeno", "featno", F.col("words").alias("vec")), queries.select("typeno", "query_id", F.col("words").alias("vec")))
+    return grouped.applyInArrow(run, f"query_id bigint, typeno int, featno int, {name} int")
+
+
 #: Vectors and queries of a tile of the brute-force search.
 TILE_VECTORS, TILE_QUERIES = 8192, 2048
 
@@ -184,14 +226,19 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, *, k: int) -> DataFrame:
     blocks by hash; each pair of blocks is one matrix product in one task, of which only a query's best rows go on.
     A type's size sets its number of blocks, so that tiles stay small whatever it holds.
     """
+    found = _block_pairs(vectors, queries).applyInArrow(_tile(k), "query_id bigint, typeno int, featno int, cosine double")
+    return _top(found, k, F.desc("cosine"), "featno")
+
+
+def _block_pairs(vectors: DataFrame, queries: DataFrame):
+    """Vectors and queries of a type in blocks by hash, each pair of blocks a cogroup of ``vec`` and ``q_id, q_vec``."""
     v_blocks = _blocks(vectors, TILE_VECTORS, "vb")
     q_blocks = _blocks(queries, TILE_QUERIES, "qb")
     v = vectors.select("typeno", "featno", "vec").join(F.broadcast(v_blocks), "typeno").join(F.broadcast(q_blocks), "typeno")
     v = v.select("typeno", "featno", "vec", F.pmod(F.xxhash64("featno"), F.col("vb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("j"))
     q = queries.select("typeno", "query_id", "vec").join(F.broadcast(v_blocks), "typeno").join(F.broadcast(q_blocks), "typeno")
     q = q.select(F.col("typeno").alias("q_type"), F.col("query_id").alias("q_id"), F.col("vec").alias("q_vec"), F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("q_i"), F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int").alias("q_j"))
-    found = v.groupBy("typeno", "i", "j").cogroup(q.groupBy("q_type", "q_i", "q_j")).applyInArrow(_tile(k), "query_id bigint, typeno int, featno int, cosine double")
-    return _top(found, k, F.desc("cosine"), "featno")
+    return v.groupBy("typeno", "i", "j").cogroup(q.groupBy("q_type", "q_i", "q_j"))
 
 
 def _blocks(df: DataFrame, size: int, name: str) -> DataFrame:
@@ -235,25 +282,26 @@ def _tile(k: int):
     return run
 
 
-def bench_candidates(vectors: DataFrame, queries: DataFrame, *, bits: int, word: int, dist: int) -> DataFrame:
-    """Candidates of one word: vectors whose word differs in at most ``dist * 64 / bits`` bits.
+def bench_pairs(vectors: DataFrame, queries: DataFrame, *, bits: int, word: int, dist: int) -> DataFrame:
+    """Candidate pairs of one word: ``(query_id, typeno, featno, word_dist)`` for vectors of the query's type whose word
+    differs in at most ``dist * 64 / bits`` bits (F10).
 
-    ``(query_id, candidates BIGINT)``, the query itself left out: the pairs are counted where they are found, since
-    their number grows with the square of a group of near vectors.
+    The query itself is left out; a pair is given in both directions if both ask. A query's own rows only are made:
+    with every vector asking, their number grows with the square of a group of near vectors.
     """
     n = B.n_words(bits)
     most = dist * 64 // bits
-    w, q = F.get("lsh", F.lit(word % n)), F.get("q_lsh", F.lit(word % n))
-    v = vectors.select("typeno", "featno", w.alias("w"))
-    asks = queries.select("query_id", "typeno", F.col("featno").alias("self"), F.col("lsh").alias("q_lsh")).select("query_id", "typeno", "self", q.alias("q"))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    out = None
-    for b in range(blocks):
-        part = asks.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        near = v.join(F.broadcast(part), "typeno").where((F.bit_count(F.col("w").bitwiseXOR(F.col("q"))) <= most) & (F.col("featno") != F.col("self")))
-        found = near.groupBy("query_id").agg(F.count("*").alias("candidates"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    w = F.get("lsh", F.lit(word % n)).alias("word")
+    v = vectors.where(F.col("lsh").isNotNull()).select("typeno", "featno", F.array(w).alias("words"))
+    q = queries.where(F.col("lsh").isNotNull()).select("typeno", "query_id", F.col("featno").alias("self"), F.array(w).alias("words"))
+    found = _tiles(v, q, lambda d: d <= most, "word_dist")
+    own = queries.select("query_id", F.col("featno").alias("self"))
+    return found.join(own, "query_id").where(F.col("featno") != F.col("self")).select("query_id", "typeno", "featno", "word_dist")
+
+
+def bench_candidates(vectors: DataFrame, queries: DataFrame, *, bits: int, word: int, dist: int) -> DataFrame:
+    """How many candidates each query has by one word: ``(query_id, candidates BIGINT)``."""
+    return bench_pairs(vectors, queries, bits=bits, word=word, dist=dist).groupBy("query_id").agg(F.count("*").alias("candidates"))
 
 
 def combined_vectors(terms: DataFrame, vectors: DataFrame) -> DataFrame:

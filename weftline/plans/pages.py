@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline import cli
 from weftline.operators import hierarchy, pageweight
 from weftline.session import shared_path, table
 from weftline.sources import linkfile
@@ -73,7 +74,18 @@ def link_file_graph(spark, sf_dir):
     return edges.unionByName(moved.select(F.col("page").alias("src"), F.col("ptr").alias("dst"), F.lit(-1).cast("bigint").alias("cnt")))
 
 
-QUERIES = {f.__name__: f for f in (link_counts, redirect_targets, reduced_graph, redirect_lines, inlink_weight, pagerank, pagerank_log, pagerank_norm, link_file_graph)}
+def weight_files(spark, sf_dir):
+    """The command on a link file, its weights and redirects read back: in-link weights of the names that the file can hold."""
+    src, out, moved = (shared_path(spark, k) for k in ("links", "weights", "redirects"))
+    ok = table(spark, sf_dir, "links").where("src is not null and dst is not null").select("link_id", "src", "dst").distinct()
+    counts = ok.where(_legal("src") & _legal("dst")).groupBy("src", "dst").agg(F.count("*").alias("cnt"))
+    linkfile.rule_text(counts, _redirects(spark, sf_dir).where(_legal("page") & _legal("ptr"))).write.text(src)
+    cli.main(["pageweight", "--inlinks", "-r", moved, src, out])
+    weights = spark.read.schema("page string, weight double").option("sep", "\t").csv(out).select("page", F.round("weight", 9).alias("weight"), F.lit(None).cast("string").alias("ptr"))
+    return weights.unionByName(spark.read.schema("page string, ptr string").option("sep", "\t").csv(moved).withColumn("weight", F.lit(None).cast("double")))
+
+
+QUERIES = {f.__name__: f for f in (link_counts, redirect_targets, reduced_graph, redirect_lines, inlink_weight, pagerank, pagerank_log, pagerank_norm, link_file_graph, weight_files)}
 
 _BASE = """
 l AS (SELECT DISTINCT link_id, src, dst, cnt FROM links),
@@ -108,6 +120,14 @@ ORACLE = {
     "pagerank": _RANK + "SELECT page, round(weight, 9) AS weight FROM f",
     "pagerank_log": _RANK + "SELECT page, round(log10(weight * (SELECT n FROM n) + 1), 6) AS weight FROM f",
     "pagerank_norm": _RANK + ", q AS (SELECT page, log10(weight * (SELECT n FROM n) + 1) AS weight FROM f) SELECT page, CAST(floor(greatest(weight, 0) / (SELECT max(weight) FROM q) * 1000) AS BIGINT) AS weight FROM q",
+    "weight_files": r"""
+WITH a AS (SELECT DISTINCT link_id, src, dst FROM links WHERE regexp_full_match(src, '[0-9A-Za-z_\x{80}-\x{10FFFF}]+') AND regexp_full_match(dst, '[0-9A-Za-z_\x{80}-\x{10FFFF}]+')),
+r AS (SELECT page, ptr FROM (SELECT src AS page, dst AS ptr, row_number() OVER (PARTITION BY src ORDER BY declared_at DESC NULLS LAST, redirect_id DESC NULLS LAST, dst DESC) AS rn
+      FROM redirects WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst) WHERE rn = 1 AND regexp_full_match(page, '[0-9A-Za-z_\x{80}-\x{10FFFF}]+') AND regexp_full_match(ptr, '[0-9A-Za-z_\x{80}-\x{10FFFF}]+')),
+p AS (SELECT DISTINCT src AS page FROM a),
+m AS (SELECT DISTINCT a.src, CASE WHEN a.dst IN (SELECT page FROM p) THEN a.dst ELSE r.ptr END AS dst FROM a LEFT JOIN r ON r.page = a.dst)
+SELECT p.page, round(count(m.src) / (SELECT count(*) FROM p), 9) AS weight, NULL AS ptr FROM p LEFT JOIN m ON m.dst = p.page GROUP BY p.page
+UNION ALL SELECT page, NULL, ptr FROM r WHERE page NOT IN (SELECT page FROM p) AND ptr IN (SELECT page FROM p)""",
     "link_file_graph": r"""
 WITH a AS (SELECT DISTINCT link_id, src, dst FROM links WHERE regexp_full_match(src, '[0-9A-Za-z_\x{80}-\x{10FFFF}]+') AND regexp_full_match(dst, '[0-9A-Za-z_\x{80}-\x{10FFFF}]+')),
 r AS (SELECT page, ptr FROM (SELECT src AS page, dst AS ptr, row_number() OVER (PARTITION BY src ORDER BY declared_at DESC NULLS LAST, redirect_id DESC NULLS LAST, dst DESC) AS rn

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftline.functions import bits as B
+from weftline.functions import sql as sqlnames
 from weftline.functions import vec as V
 from weftline.operators import lshmodel, search
 from weftline.operators.upsert import current_vectors
@@ -131,9 +133,48 @@ def term_similarity(spark, sf_dir):
     return _named(found, "weight", "rank")
 
 
+def wide_filter_topk(spark, sf_dir):
+    """The filtered search at 1,248 bits, where all four filter words count: the model beside itself turned by one and by two components."""
+    m = lshmodel.from_frame(table(spark, sf_dir, "lsh_model")).matrix
+    model = lshmodel.LshModel(np.vstack([np.roll(m, turn, axis=1) for turn in range(3)]))
+    df = Cut(spark, "hash").keep(lshmodel.hash_vectors(current_vectors(table(spark, sf_dir, "vectors"), DIM), model))
+    found = search.search(df, _asked(df), bits=model.total_bits, k=K, min_sim=MIN_SIM, factor=FACTOR, prefilter=True)
+    return _named(found, "dist", F.round("weight", 6).alias("weight"), "rank")
+
+
+def bench_candidate_pairs(spark, sf_dir):
+    """F10 as pairs: each feature divisible by 20 with all whose word 3 differs in at most 9 bits."""
+    df = hashed(spark, sf_dir)
+    return _named(search.bench_pairs(df, _asked(df), bits=BITS, word=3, dist=60), "word_dist")
+
+
+def stored_hash_edits(spark, sf_dir):
+    """Bits set and cleared, hashes read back from text, seeded random bits."""
+    noise = B.random_words(BITS, "seq")
+    return _stored(spark, sf_dir).select(
+        "seq",
+        B.to_hex(B.set_bit("lsh", 100, 1, BITS)).alias("hex_set"),
+        B.to_hex(B.set_bit("lsh", 415, 0, BITS)).alias("hex_clear"),
+        B.set_bit("lsh", 416, 1, BITS).isNull().alias("out_of_bounds"),
+        (B.from_hex(B.to_hex("lsh"), 7) == F.col("lsh")).alias("read_back"),
+        (B.to_hex(B.bit_and(noise, B.constant(BITS, 1))) == B.to_hex(noise)).alias("padding_clear"),
+        (B.count(noise).between(130, 290) & (B.to_hex(noise) == B.to_hex(B.random_words(BITS, F.col("seq"))))).alias("random"),
+    )
+
+
+def sql_names(spark, sf_dir):
+    """The functions as SQL names, in a query of text."""
+    sqlnames.register(spark, lshmodel.from_frame(table(spark, sf_dir, "lsh_model")))
+    current_vectors(table(spark, sf_dir, "vectors"), DIM).withColumn("vec", F.col("vec").cast("array<double>")).createOrReplaceTempView("weftline_current")
+    return spark.sql("""
+        SELECT typeno, featno, bits_set(h) AS n_set, hamming(h, reverse(h)) AS dist, round(lsh_weight(hamming(h, reverse(h)), 416), 6) AS weight,
+          round(vec_cosine(vec, reverse(vec)), 6) AS cosine
+        FROM (SELECT typeno, featno, vec, simhash(vec) AS h FROM weftline_current)""")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (current_vector_keys, normalized_vectors, simhash_words, stored_hash_bits, stored_hash_algebra, stale_hashes, cosine_topk, hamming_topk, lsh_prefilter_topk, lsh_filter_stats, rerank_topk, bench_candidate_counts, term_similarity)
+    for f in (wide_filter_topk, bench_candidate_pairs, stored_hash_edits, sql_names, current_vector_keys, normalized_vectors, simhash_words, stored_hash_bits, stored_hash_algebra, stale_hashes, cosine_topk, hamming_topk, lsh_prefilter_topk, lsh_filter_stats, rerank_topk, bench_candidate_counts, term_similarity)
 }
 
 CURRENT_SQL = """
@@ -183,7 +224,33 @@ def _hex(bits: str) -> str:
     return f"array_to_string(list_transform(range(0, 7), lambda i: lpad(hex(CAST(CAST(substr(CAST({bits} AS VARCHAR), CAST(1 + 64 * i AS INT), 64) AS BIT) AS BIGINT)), 16, '0')), '')"
 
 
+# limits at 1,248 bits and weight 0.8: 312, with the recall factor 405; per word 20, and 37, 55 and 73 after 2, 3 and 4 words
+_WIDE = (
+    CURRENT_SQL
+    + """,
+wm AS (SELECT row_no, coeffs FROM lsh_model UNION ALL SELECT row_no + 416, list_concat(coeffs[64:64], coeffs[1:63]) FROM lsh_model UNION ALL SELECT row_no + 832, list_concat(coeffs[63:64], coeffs[1:62]) FROM lsh_model),
+h AS (SELECT typeno, featno, string_agg(CASE WHEN list_inner_product(c.vec, CAST(m.coeffs AS DOUBLE[])) >= 0 THEN '1' ELSE '0' END, '' ORDER BY m.row_no) AS t FROM cur c CROSS JOIN wm m GROUP BY typeno, featno),
+d AS (SELECT q.typeno, q.featno, h.featno AS other, bit_count(xor(CAST(h.t AS BIT), CAST(q.t AS BIT))) AS dist,
+      list_transform(range(0, 4), lambda i: bit_count(xor(CAST(substr(h.t, CAST(1 + 64 * i AS INT), 64) AS BIT), CAST(substr(q.t, CAST(1 + 64 * i AS INT), 64) AS BIT)))) AS w FROM h q JOIN h ON h.typeno = q.typeno AND q.featno % 20 = 0),
+c AS (SELECT *, list_sum(w) AS partial, row_number() OVER (PARTITION BY typeno, featno ORDER BY list_sum(w), other) AS pos FROM d
+      WHERE w[1] <= 20 AND w[2] <= 20 AND w[3] <= 20 AND w[4] <= 20 AND w[1] + w[2] <= 37 AND w[1] + w[2] + w[3] <= 55 AND list_sum(w) <= 73),
+s AS (SELECT typeno, featno, list_sort(list(dist)) AS l FROM c WHERE pos <= 30 GROUP BY 1, 2),
+p AS (SELECT typeno, featno, floor((4 * p - 3 * (p - 312)) / 20) AS prob_sum FROM (SELECT *, floor((CASE WHEN len(l) > 10 AND l[11] > 0 THEN l[11] ELSE 312 END) * (405 / 312) + 1) AS p FROM s)),
+z AS (SELECT 1) """
+)
+_PUT = "substr(t, 1, {0}) || '{1}' || substr(t, {0} + 2)"
+
 ORACLE = {
+    "wide_filter_topk": _WIDE + _best("SELECT c.*, round(1 - dist / 1560, 6) AS weight FROM c JOIN p USING (typeno, featno) WHERE partial < prob_sum AND dist <= 312 AND 1 - dist / 1560 > 0.8", "dist, other", "CAST(dist AS INT) AS dist, weight"),
+    "bench_candidate_pairs": _HASH
+    + "z AS (SELECT q.typeno, q.featno, h.featno AS other, CAST(bit_count(xor(CAST(substr(h.t, 193, 64) AS BIT), CAST(substr(q.t, 193, 64) AS BIT))) AS INT) AS word_dist FROM q JOIN h ON h.typeno = q.typeno AND h.featno <> q.featno) SELECT * FROM z WHERE word_dist <= 9",
+    "stored_hash_edits": f"""
+WITH s AS (SELECT DISTINCT seq, typeno, featno, lsh FROM vectors WHERE len(lsh) = 7), x AS (SELECT seq, {_TEXT} AS t FROM s)
+SELECT seq, {_hex(_PUT.format(100, 1))} AS hex_set, {_hex(_PUT.format(415, 0))} AS hex_clear, true AS out_of_bounds, true AS read_back, true AS padding_clear, true AS random FROM x""",
+    "sql_names": _HASH
+    + """z AS (SELECT typeno, featno, vec, t || repeat('0', 32) AS t FROM h),
+y AS (SELECT *, bit_count(xor(CAST(t AS BIT), CAST(array_to_string(list_transform(range(6, -1, -1), lambda i: substr(t, CAST(1 + 64 * i AS INT), 64)), '') AS BIT))) AS dist FROM z)
+SELECT typeno, featno, CAST(length(replace(t, '0', '')) AS INT) AS n_set, CAST(dist AS INT) AS dist, round(1 - dist / 520, 6) AS weight, round(list_cosine_similarity(vec, list_reverse(vec)), 6) AS cosine FROM y""",
     "current_vector_keys": CURRENT_SQL + "SELECT typeno, featno, round(sqrt(list_inner_product(vec, vec)), 6) AS norm FROM cur",
     "normalized_vectors": CURRENT_SQL + "SELECT typeno, featno, round(CAST(CAST(vec[1] / sqrt(list_inner_product(vec, vec)) AS FLOAT) AS DOUBLE), 5) AS first, 1.0 AS length FROM cur",
     "simhash_words": _HASH + "z AS (SELECT 1) SELECT typeno, featno, array_to_string(list_transform(range(0, 7), lambda i: substr(t, CAST(1 + 64 * i AS INT), 64)), '|') AS bits FROM h",
