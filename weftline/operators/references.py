@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.bitmap import Bitmap
+from weftline.session import Cut
+
+#: Most partitions of the shuffle, unless the session has more; beyond it a task takes several ranges, one after the other.
+MAX_TASKS = 20_000
 
 _NEVER = np.iinfo(np.int64).max
 
@@ -108,7 +112,7 @@ def orphan_references(
     valid: str,
     holds_from: str,
     holds_to: str,
-    rows_per_range: int = 150_000,
+    rows_per_range: int = 50_000,
 ) -> DataFrame:
     """References of ``refs`` for which no valid row of ``parents`` holds at their time.
 
@@ -117,7 +121,9 @@ def orphan_references(
 
     Plan. Keys are hashed into ranges of about ``rows_per_range`` references; a range that a hot key makes larger is
     split by a salt of the reference and the range's few parents are repeated for each salt, so that no task holds
-    an unbounded group. References are shuffled once. In a range the keys are coded as integers by a dictionary,
+    an unbounded group. The sizes of ranges are counted first, with partial counts; those to be split are a written
+    table that both sides are joined with (broadcast by Spark if it is small), and nothing is sent to the driver.
+    References are shuffled once, into as many partitions as there are groups. In a range the keys are coded as integers by a dictionary,
     and for each month the bitmap of referenced codes AND NOT that of codes defined all month leaves the
     candidates; those defined for a part of the month are decided by their intervals.
 
@@ -137,18 +143,19 @@ def orphan_references(
     ranges = max(1, -(-total // rows_per_range))
     of_key = F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int")
 
-    # Rows of each range: a table of `ranges` integers, so its size is bounded by the choice of ranges.
-    counts = long.groupBy(of_key.alias("rng")).count().collect()
-    hot = {r["rng"]: -(-r["count"] // (2 * rows_per_range)) for r in counts if r["count"] > 2 * rows_per_range}
-    if hot:
-        salts = F.create_map(*[F.lit(x) for kv in sorted(hot.items()) for x in kv])
-        n_salts = F.coalesce(salts[F.col("rng")], F.lit(1))
-    else:
-        n_salts = F.lit(1)
-    salted = long.withColumn("rng", of_key).withColumn("salt", F.pmod(F.xxhash64("ref_id", "side"), n_salts).cast("int"))
-    held = defs.withColumn("rng", of_key).withColumn("salt", F.explode(F.sequence(F.lit(0), (n_salts - 1).cast("int"))))
-    grouped = salted.groupBy("rng", "salt").cogroup(held.groupBy("rng", "salt"))
-    return grouped.applyInArrow(_range_orphans, "ref_id bigint, side string, page string, period int")
+    cut = Cut(spark, "ranges")
+    most = 2 * rows_per_range
+    counts = long.groupBy(of_key.alias("rng")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    hot = cut.keep(counts.select("rng", F.ceil(F.col("n") / most).cast("int").alias("salts")))
+
+    def split(df: DataFrame) -> DataFrame:
+        return df.withColumn("rng", of_key).join(hot, "rng", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+
+    salted = split(long).withColumn("salt", F.pmod(F.xxhash64("ref_id", "side"), F.col("salts")).cast("int")).drop("salts")
+    held = split(defs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    tasks = max(1, min(ranges, max(MAX_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    placed, beside = (df.repartition(tasks, "rng", "salt").groupBy("rng", "salt") for df in (salted, held))
+    return placed.cogroup(beside).applyInArrow(_range_orphans, "ref_id bigint, side string, page string, period int")
 
 
 def orphans_by_period(orphans: DataFrame) -> DataFrame:
