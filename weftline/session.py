@@ -99,6 +99,17 @@ class Cut:
 _PENDING: list[tuple[SparkSession, str]] = []
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    _PENDING.append((spark, path))
+
+
+def local_file(spark: SparkSession, path: str) -> str | None:
+    """The name of a path in the machines' own file system (also a shared mount), none where it lies in another one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return p.toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
