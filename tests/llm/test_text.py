@@ -126,6 +126,28 @@ def test_equal_items_and_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in many.collect()) == one
 
 
+def test_places_of_words():
+    for text in ("Ｆｕｌｌ “Café” l’été <i class='x y'>x</i>y &amp; z_1 co-\nop е‍ж", "a<br/>b<!-- no no -->c d-\n> e", "道が静か だった。 x", "...", "a &nbsp;b&#8217;c"):
+        assert len(L.places(text)) == len(words(text)) and all(0 <= a < b <= len(text) for a, b in L.places(text))
+    text = "Before <b>Some Words</b> here, after."
+    a, b = L.places(text)[1][0], L.places(text)[3][1]
+    assert text[a:b] == "<b>Some Words</b> here,"
+
+
+def test_cleaned(spark):
+    filler = "nothing of this stands in any item and goes on for quite a while so that most of the text is left over. " * 4
+    rows = [(1, filler + ITEM + " " + filler), (2, ITEM), (3, None), (4, ""), (5, filler), (6, ITEM.upper().replace(" ", "\n") + "\n" + filler * 3)]
+    items = spark.createDataFrame([(7, ITEM), (8, ITEM)], "item_id bigint, text string")
+    frame = docs(spark, rows)
+    found = L.leaks(frame, items)
+    for r in found.collect():
+        assert words(dict(rows)[r.doc_id][r.start : r.stop]) == words(ITEM)
+    got = {r.doc_id: (r.text, r.removed) for r in L.cleaned(frame, found).collect()}
+    assert len(got) == 6 and got[2] == (None, len(ITEM)) and got[3] == (None, 0) and got[4] == ("", 0) and got[5] == (filler, 0)
+    assert words(got[1][0]) == words(filler + filler) and words(got[6][0]) == words(filler * 3)
+    assert L.leaks(spark.createDataFrame([(r.doc_id, r.text) for r in L.cleaned(frame, found).collect()], "doc_id bigint, text string"), items).count() == 0
+
+
 def test_leaks_of_empty_tables(spark):
     assert find(spark, [], [(1, ITEM)]) == [] and L.leaks(docs(spark, [(1, ITEM)]), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.transducer import Transducer, compile_words
-from weftline.session import _PENDING, shared_path, spread
+from weftline.session import delete_at_exit, local_file, shared_path, spread
 
 # Fixed value: the public pattern that splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -134,12 +134,12 @@ def encode_corpus(docs: DataFrame, ranks_path: str, *, doc_id: str = "doc_id", t
     corpus = spread(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")))
     data = build_lexicon(corpus, ranks, words, least, pattern)
     path = shared_path(spark, "lexicon")
-    if path.startswith("file:") or "://" not in path:
-        local = path.removeprefix("file://").removeprefix("file:")
+    local = local_file(spark, path)
+    if local:
         os.makedirs(os.path.dirname(local), exist_ok=True)
         with open(local, "wb") as f:
             f.write(data)
-        _PENDING.append((spark, path))
+        delete_at_exit(spark, path)
         held = spark.sparkContext.broadcast((local, None, ranks))
     else:  # no path that tasks could map: the bytes themselves, bounded by `words`
         held = spark.sparkContext.broadcast((None, data, ranks))

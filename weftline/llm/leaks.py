@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.automaton import SuffixAutomaton
-from weftline.llm.normal import words
+from weftline.llm.normal import places, words
 from weftline.session import spread
 
 #: Words of an item that a passage must span, and the share of them that may differ (one in so many).
@@ -28,16 +28,19 @@ def longest_run(min_words: int = MIN_WORDS, one_in: int = ONE_IN) -> int:
     return min(-(-(n - n // one_in) // (n // one_in + 1)) for n in range(min_words, 40 * one_in))
 
 
-def longest_stretch(gains: list[tuple[int, int]]) -> int:
-    """Most words of a stretch of ``(gain, words)`` whose gains add up to 0 or more; changed words may stand at its ends."""
-    total, count, best = 0, 0, 0
-    lows = [(0, 0)]  # falling totals, and the words before them
-    for gain, n in gains:
-        total, count = total + gain, count + n
-        if total < lows[-1][0]:
-            lows.append((total, count))
-        best = max(best, count - next(c for t, c in lows if t <= total))
-    return best
+def longest_stretch(gain: np.ndarray, count: np.ndarray) -> tuple[int, int, int]:
+    """Most words of a stretch whose gains add up to 0 or more, and where it begins and ends (exclusive).
+
+    Changed words may stand at its ends. The earliest of the lowest sums before a place that don't exceed its own
+    begins the longest stretch that ends there.
+    """
+    total, words = np.zeros((2, len(gain) + 1), dtype=np.int64)
+    np.cumsum(gain, out=total[1:])
+    np.cumsum(count, out=words[1:])
+    first = np.searchsorted(-np.minimum.accumulate(total), -total)
+    length = words - words[first]
+    end = int(length.argmax())
+    return int(length[end]), int(first[end]), end
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -68,27 +71,25 @@ class Items:
                 self.ids.append(i)
                 self.items.append(item)
         self.auto = SuffixAutomaton(self.items)
-        posts: list[list[int]] = [[] for _ in range(len(self.code) + 1)]  # the last one is for other words
-        for no, item in enumerate(self.items):
-            for w in set(item):
-                posts[w].append(no)
-        self.posts = [np.array(p, dtype=np.int64) for p in posts]
-        self.place = np.full(len(self.items), -1)
+        self.words_of = [np.unique(item) for item in self.items]
+        self.mark = np.full(len(self.code) + 1, -1)  # the last one is for other words
         self.longest = max(map(len, self.items), default=0)
+        self.ones = np.ones(self.longest, dtype=np.int64)
         self._ends: dict[int, np.ndarray] = {}
 
-    def bare(self, text: list[str]) -> list[str]:
-        """The words without whole instructions."""
+    def bare(self, text: list[str]) -> list[int]:
+        """Places of the words that aren't in a whole instruction."""
+        n = len(text)
         if not self.lead:
-            return text
-        out, k, n = [], 0, len(text)
+            return list(range(n))
+        out, k = [], 0
         while k < n:
             for s in self.lead.get((text[k], text[k + 1]), ()) if k + 1 < n else ():
                 if tuple(text[k : k + len(s)]) == s:
                     k += len(s)
                     break
             else:
-                out.append(text[k])
+                out.append(k)
                 k += 1
         return out
 
@@ -106,13 +107,17 @@ class Items:
             self._ends[state] = self._ends[top]
         return self._ends[state]
 
-    def found(self, text: str | None) -> list[tuple[int, int]]:
-        """``(item_id, words spanned)`` of each item that leaked into the text."""
-        toks = self.bare(words(text))
-        if len(toks) < self.min_words - self.min_words // self.one_in:
+    def found(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        """``(item_id, words spanned, first word, last word)`` of each item that leaked into the text.
+
+        The words spanned are the item's; first and last are places among the text's words.
+        """
+        toks = words(text)
+        at = self.bare(toks)
+        if len(at) < self.min_words - self.min_words // self.one_in:
             return []
         other = len(self.code)
-        nums = [self.code.get(w, other) for w in toks]
+        nums = [self.code.get(toks[k], other) for k in at]
         runs = [self.ends(state) + k for k, (state, n) in enumerate(self.auto.longest(nums)) if n >= self.run]
         if not runs:
             return []
@@ -128,25 +133,26 @@ class Items:
             no = int(cand[c])
             own = diagonals[start[c] : start[c + 1] if c + 1 < len(cand) else None]
             near = [d for d in self._bands(own.tolist()) if self._reach(wide, self.items[no], d) >= self.min_words]
-            span = max((self._span(nums, self.items[no], d) for d in near), default=0)
+            span, first, last = max((self._span(nums, self.items[no], d) for d in near), default=(0, 0, 0))
             if span >= self.min_words:
-                out.append((self.ids[no], span))
+                out.append((self.ids[no], span, at[first], at[last]))
         return out
 
-    def _crowded(self, nums: list[int], cand: np.ndarray, width: int, block: int = 4096) -> np.ndarray:
+    def _crowded(self, nums: list[int], cand: np.ndarray, width: int) -> np.ndarray:
         """The most words of each candidate in a window of the text, whatever their order."""
-        self.place[cand] = np.arange(len(cand))
+        kinds, text = np.unique(nums, return_inverse=True)
+        self.mark[kinds] = np.arange(len(kinds))
         most = np.zeros(len(cand), dtype=np.int64)
-        for s in range(0, max(1, len(nums) - width), block):
-            part = nums[s : s + block + width]
-            sums = np.zeros((len(part) + 1, len(cand)), dtype=np.int32)
-            for k, w in enumerate(part, 1):
-                at = self.place[self.posts[w]]
-                sums[k, at[at >= 0]] = 1
-            np.cumsum(sums, axis=0, out=sums)
-            full = (sums[width:] - sums[:-width]).max(axis=0) if len(part) > width else sums[-1]
-            np.maximum(most, full, out=most)
-        self.place[cand] = -1
+        block = max(1, (1 << 21) // len(text))
+        for s in range(0, len(cand), block):
+            own = [self.words_of[no] for no in cand[s : s + block]]
+            row, kind = np.repeat(np.arange(len(own)), [len(w) for w in own]), self.mark[np.concatenate(own)]
+            holds = np.zeros((len(own), len(kinds)), dtype=bool)
+            holds[row[kind >= 0], kind[kind >= 0]] = True
+            hits = np.zeros((len(own), len(text) + 1), dtype=np.int32)
+            np.cumsum(holds[:, text], axis=1, out=hits[:, 1:])
+            most[s : s + block] = (hits[:, width:] - hits[:, :-width]).max(axis=1) if len(text) > width else hits[:, -1]
+        self.mark[kinds] = -1
         return most
 
     def _reach(self, wide: np.ndarray, item: list[int], diagonal: int) -> int:
@@ -155,7 +161,7 @@ class Items:
         hit = (wide[at : at + len(item)] == np.array(item)[:, None]).any(axis=1)
         if hit.sum() < self.min_words - self.min_words // self.one_in:
             return 0
-        return longest_stretch([(1, 1) if h else (1 - self.one_in, 1) for h in hit.tolist()])
+        return longest_stretch(np.where(hit, 1, 1 - self.one_in), self.ones[: len(hit)])[0]
 
     @staticmethod
     def _bands(diagonals: list[int], near: int = 4) -> list[int]:
@@ -166,8 +172,8 @@ class Items:
                 out.append(d)
         return out
 
-    def _span(self, text: list[int], item: list[int], diagonal: int, band: int = 12) -> int:
-        """Words of the item in the longest passage near a diagonal.
+    def _span(self, text: list[int], item: list[int], diagonal: int, band: int = 12) -> tuple[int, int, int]:
+        """Words of the item in the longest passage near a diagonal, and the first and last of the text's.
 
         The item is aligned with the text round it by the fewest changes, with free ends; along this alignment the
         longest stretch is taken of whose item's words at most one in ``one_in`` is changed, left out or added.
@@ -199,20 +205,26 @@ class Items:
             row = new
         c, i = min(range(width), key=row.__getitem__), m
         if row[c] >= far:
-            return 0
-        gains = []
+            return 0, 0, 0
+        gains = []  # from the last to the first: gain, words of the item, place in the text
         while i > begin:
             step = steps[i - 1 - begin][c]
             if step == 1:
-                gains.append((1 if text[i + lo + c - 1] == item[i - 1] else 1 - self.one_in, 1))
+                gains.append((1 if text[i + lo + c - 1] == item[i - 1] else 1 - self.one_in, 1, i + lo + c - 1))
                 i -= 1
             elif step == 2:
-                gains.append((1 - self.one_in, 1))
+                gains.append((1 - self.one_in, 1, -1))
                 i, c = i - 1, c + 1
             else:
-                gains.append((-self.one_in, 0))
+                gains.append((-self.one_in, 0, i + lo + c - 1))
                 c -= 1
-        return longest_stretch(gains)
+        if not gains:
+            return 0, 0, 0
+        gain, count, place = np.array(gains[::-1]).T
+        span, begin, end = longest_stretch(gain, count)
+        inside = place[begin:end]
+        inside = inside[inside >= 0]
+        return (span, int(inside[0]), int(inside[-1])) if len(inside) else (0, 0, 0)
 
 
 def shared_sentences(items: DataFrame, text: str) -> set[tuple[str, ...]]:
@@ -239,7 +251,9 @@ def leaks(
     one_in: int = ONE_IN,
     block_bytes: int = 1 << 20,
 ) -> DataFrame:
-    """Documents that hold a passage of an item: ``(doc_id, item_id, words INT)``, ``words`` being its length.
+    """Documents that hold a passage of an item: ``(doc_id, item_id, words INT, start INT, stop INT)``.
+
+    ``words`` is the passage's length, ``start`` and ``stop`` (exclusive) are the characters of the text that it takes.
 
     A passage spans at least ``min_words`` words of the item in its order, of which at most one in ``one_in`` is
     changed, left out or added. Case, punctuation, spacing, line breaks, markup and character forms are levelled on
@@ -258,7 +272,7 @@ def leaks(
     items share aren't instructions. Empty tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    schema = f"{doc_id} bigint, {item_id} bigint, words int"
+    schema = f"{doc_id} bigint, {item_id} bigint, words int, start int, stop int"
     whole = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("i"), F.col(text).alias("t")).distinct()
     size = whole.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shared = shared_sentences(items, text)
@@ -279,9 +293,43 @@ def _search(packed, doc_id: str, item_id: str):
     def run(batches):
         items = Items(*packed.value)
         for batch in batches:
-            hits = [(k, i, n) for k, t in enumerate(batch.column("t").to_pylist()) for i, n in items.found(t)]
-            row, item, span = (list(c) for c in zip(*hits, strict=True)) if hits else ([], [], [])
-            ids = batch.column("d").cast(pa.int64()).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), pa.array(span, pa.int32())], [doc_id, item_id, "words"])
+            rows = [[], [], [], [], []]
+            for k, t in enumerate(batch.column("t").to_pylist()):
+                hits = items.found(t)
+                where = places(t) if hits else []
+                for i, n, first, last in hits:
+                    for col, x in zip(rows, (k, i, n, where[first][0], where[last][1]), strict=True):
+                        col.append(x)
+            ids = batch.column("d").cast(pa.int64()).take(pa.array(rows[0], pa.int64()))
+            rest = [pa.array(c, t) for c, t in zip(rows[1:], (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, *rest], [doc_id, item_id, "words", "start", "stop"])
 
     return run
+
+
+def cleaned(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text", most: float = 0.5) -> DataFrame:
+    """Texts without the passages that leaked: ``(doc_id, text, removed INT)``, one row for each row of ``docs``.
+
+    ``found`` is the result of :func:`leaks` on the same ``docs``, whose ids must be unique. A document of whose
+    characters more than ``most`` lie in passages has a null text. ``removed`` counts the characters taken out; a null
+    text has 0. Only the places are joined with the corpus, which Spark broadcasts while they are few.
+    """
+    spans = found.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("i")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    base = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t"))
+    both = base.join(spans, F.col("d") == F.col("i"), "left").select("d", "t", "spans")
+
+    def cut(batches):
+        for batch in batches:
+            texts, gone = [], []
+            for t, spans in zip(batch.column("t").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                parts, at, n = [], 0, 0
+                for s in spans or ():
+                    if s["stop"] > at:
+                        parts.append(t[at : max(at, s["start"])])
+                        n += s["stop"] - max(at, s["start"])
+                        at = s["stop"]
+                texts.append(None if t is None or n > most * len(t) else t if not n else "".join([*parts, t[at:]]))
+                gone.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(texts, pa.string()), pa.array(gone, pa.int32())], [doc_id, text, "removed"])
+
+    return both.mapInArrow(cut, f"{doc_id} bigint, {text} string, removed int")

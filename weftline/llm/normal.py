@@ -53,3 +53,22 @@ def flatten(text: str) -> str:
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall(flatten(text)) if text else []
+
+
+# what is never split between two words: a comment, a tag, a word cut at the end of a line, other visible characters
+_PIECE = re.compile(rf"(?:<!--.*?-->|{TAG}|(?<=\w)[-‐‑]\s*\n[\s>]*(?=\w)|\S)+", re.S)
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """Where each of :func:`words` stands in the text: the characters of the stretch between blanks that holds it.
+
+    A stretch that doesn't give the words that come next is taken with those after it.
+    """
+    whole, out, start = words(text), [], None
+    for m in _PIECE.finditer(text):
+        start = m.start() if start is None else start
+        got = words(text[start : m.end()])
+        if whole[len(out) : len(out) + len(got)] == got:
+            out.extend([(start, m.end())] * len(got))
+            start = None
+    return out + [(len(text) if start is None else start, len(text))] * (len(whole) - len(out))

@@ -44,6 +44,11 @@ def p7_found(spark, sf_dir):
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id").distinct()
 
 
+def p7_clean(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return leaks.cleaned(docs, leaks.leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
 def _structure(spark, sf_dir):
     return quality.text_structure(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
 
@@ -62,7 +67,7 @@ def p8_profiles(spark, sf_dir):
     return _structure(spark, sf_dir).select("doc_id", F.round("outside", 6).alias("outside"), "profile", "language")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_described, p5_found, p5_topk, p6_ids, p7_found, p8_found, p8_stats, p8_profiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_described, p5_found, p5_topk, p6_ids, p7_found, p7_clean, p8_found, p8_stats, p8_profiles)}
 
 _NEAR = (
     CURRENT_SQL.strip()
