@@ -109,7 +109,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, bits: int, k: int, min_sim
     else:
         v = vectors.select("typeno", "featno", F.array(*B.words_of("lsh", lim.words)).alias("words"))
         q = queries.select("typeno", "query_id", F.array(*B.words_of("lsh", lim.words)).alias("words"))
-        near = _tiles(v, q, lambda d: d <= lim.simdist, "dist", ranks)
+        near = _tiles(v, q, lim.simdist, "dist", ranks)
     found = _top(near.select("query_id", "typeno", "featno", "dist"), ranks, "dist", "featno")
     found = found.withColumn("weight", V.weight_of("dist", bits))
     return found.where((F.col("rank") <= ranks) & (F.col("weight") > min_sim))
@@ -175,11 +175,12 @@ def reranked(vectors: DataFrame, queries: DataFrame, *, bits: int, k: int, min_s
     return _top(exact.where(F.col("weight") > min_sim), k, F.desc("weight"), F.desc("featno"))
 
 
-def _tiles(vectors: DataFrame, queries: DataFrame, keep, name: str, k: int | None = None) -> DataFrame:
-    """Distances of all vectors of a query's type that ``keep`` takes: ``(query_id, typeno, featno, <name> INT)``.
+def _tiles(vectors: DataFrame, queries: DataFrame, limit: int, name: str, k: int | None = None) -> DataFrame:
+    """Distances up to ``limit`` of all vectors of a query's type: ``(query_id, typeno, featno, <name> INT)``.
 
     Both have ``words``. As in :func:`exact_topk` each pair of blocks is one task's: words are laid side by side and
-    differences counted for whole tiles. With ``k`` a tile gives a query's ``k`` nearest only, ties to the smaller
+    differences counted for tiles that fit the cache. So many words are counted for all as take unrelated hashes over
+    the limit; the others only where the limit isn't passed yet, so that nothing is lost. With ``k`` a tile gives a query's ``k`` nearest only, ties to the smaller
     ``featno``.
     """
     schema = pa.schema([("query_id", pa.int64()), ("typeno", pa.int32()), ("featno", pa.int32()), (name, pa.int32())])
@@ -194,13 +195,22 @@ def _tiles(vectors: DataFrame, queries: DataFrame, keep, name: str, k: int | Non
         order = np.argsort(feat, kind="stable")
         feat, x, y = feat[order], words(vectors["vec"])[:, order], words(queries["q_vec"])
         out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
-        block = max(1, (1 << 20) // len(feat))
+        block = max(1, (1 << 16) // len(feat))
+        dense = min(len(x), limit // 32 + 4)
+        xor, ones, dist = (np.empty((block, len(feat)), dtype=t) for t in (np.uint64, np.uint8, np.uint16))
         for s in range(0, len(ids), block):
-            dist = np.zeros((min(block, len(ids) - s), len(feat)), dtype=np.uint16)
-            for w in range(len(x)):
-                dist += np.bitwise_count(y[w, s : s + block, None] ^ x[w])
-            row, col = np.nonzero(keep(dist))
+            part = slice(0, min(block, len(ids) - s))
+            dist[part] = 0
+            for w in range(dense):
+                np.bitwise_xor(y[w, s : s + block, None], x[w], out=xor[part])
+                np.bitwise_count(xor[part], out=ones[part])
+                np.add(dist[part], ones[part], out=dist[part])
+            row, col = np.nonzero(dist[part] <= limit)
             got = dist[row, col].astype(np.int64)
+            for w in range(dense, len(x)):
+                got += np.bitwise_count(y[w, s + row] ^ x[w, col])
+            near = got <= limit
+            row, col, got = row[near], col[near], got[near]
             if k is not None and len(row):
                 by = np.lexsort((col, got, row))
                 row, col, got = row[by], col[by], got[by]
@@ -294,7 +304,7 @@ def bench_pairs(vectors: DataFrame, queries: DataFrame, *, bits: int, word: int,
     w = F.get("lsh", F.lit(word % n)).alias("word")
     v = vectors.where(F.col("lsh").isNotNull()).select("typeno", "featno", F.array(w).alias("words"))
     q = queries.where(F.col("lsh").isNotNull()).select("typeno", "query_id", F.col("featno").alias("self"), F.array(w).alias("words"))
-    found = _tiles(v, q, lambda d: d <= most, "word_dist")
+    found = _tiles(v, q, most, "word_dist")
     own = queries.select("query_id", F.col("featno").alias("self"))
     return found.join(own, "query_id").where(F.col("featno") != F.col("self")).select("query_id", "typeno", "featno", "word_dist")
 
