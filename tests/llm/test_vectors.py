@@ -284,3 +284,37 @@ def test_the_end_of_a_chain_is_kept(spark, model):
     rows = [(i, 1, 10 + i, np.r_[v, np.zeros(62)]) for i, v in enumerate(x)] + [(9, 1, 20, np.r_[np.zeros(63), 1])]
     got = {(r.featno, r.cluster_featno, r.medoid) for r in K.clusters(frame(spark, rows), model).collect()}
     assert got == {(10, 10, 11), (11, 10, 11), (12, 10, 11), (13, 13, 13)}
+
+
+@pytest.mark.parametrize("block", [1 << 15, 100])
+def test_links_outside_the_visited_cells(spark, model, monkeypatch, block):
+    """Pairs at the threshold whose vectors share no cell, in one block and in several: the exact pass links them."""
+    r = np.random.default_rng(14)
+    rows = groups(14, [150, 3], types=(1, 2), alone=100)
+    for i in range(60):
+        a, b = C.units(r.standard_normal((2, 64)))
+        b = C.units((b - a * (a @ b))[None])[0]
+        rows += [(9000 + 2 * i, 1, 200_000 + 2 * i, a), (9001 + 2 * i, 1, 200_001 + 2 * i, 0.801 * a + (1 - 0.801**2) ** 0.5 * b)]
+    fit = C.fit_cells
+    monkeypatch.setattr(K, "fit_cells", lambda df, **kw: fit(df, cell=20, **kw))
+    monkeypatch.setattr(K, "BLOCK", block, raising=False)
+    got = {(q.typeno, q.featno): q.cluster_featno for q in K.clusters(frame(spark, rows), model, probes=1, margin=0.0).collect()}
+    assert got == brute_clusters(rows)
+
+
+@pytest.mark.parametrize("block", [1 << 15, 12])
+def test_loose_components_are_split_by_all_links(spark, monkeypatch, block):
+    """Components whose members aren't all similar, in one task and in a step at a time, as if all links were known."""
+    r = np.random.default_rng(15)
+    x = np.repeat(C.units(r.standard_normal((4, 16))), 25, axis=0) + r.standard_normal((100, 16)) * 0.12
+    rows = [(i, 1, i, v) for i, v in enumerate(x)]
+    u = unit_rows(rows)[1][1]
+    links = np.stack(np.nonzero(np.triu(np.round(u @ u.T, 6) >= 0.8, 1)), axis=1)
+    medoid = K.split_loose(u, links, 0.8)
+    assert len(np.unique(medoid)) > 6 and 20 < np.bincount(K.components(100, links)).max() < 50
+    fit = C.fit_cells
+    monkeypatch.setattr(K, "fit_cells", lambda df, **kw: fit(df, cell=20, **kw))
+    monkeypatch.setattr(K, "BLOCK", block, raising=False)
+    conf = create_config("vecdim=16")
+    got = {q.featno: q.medoid for q in K.clusters(frame(spark, rows), to_frame(spark, create_model(16, conf.bits, conf.variations))).collect()}
+    assert got == {i: int(m) for i, m in enumerate(medoid) if m >= 0}

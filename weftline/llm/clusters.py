@@ -1,4 +1,4 @@
-"""Clusters of mutually similar vectors, by MinHash over sets of nearest directions."""
+"""Clusters of mutually similar vectors, by MinHash over sets of nearest directions and an exact pass over what it leaves."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.cells import blobs, distinct_vectors, fit_cells, in_tasks, routed, units
+from weftline.llm.cells import blobs, distinct_vectors, fit_cells, in_tasks, matrix, routed, units
 from weftline.llm.components import connected_components
 from weftline.session import Cut
 
@@ -22,6 +22,12 @@ LEAST_JACCARD = 0.3
 BANDS, ROWS = 80, 3
 #: As in the search for neighbours: cells visited at most and the margin of their centroids.
 PROBES, MARGIN = 6, 0.12
+#: Vectors of a type, or of a component, that one task takes; of larger ones each pair of blocks goes to a task.
+BLOCK = 1 << 15
+#: Products of the exact pass held at once, and more than single precision and rounding can move a cosine.
+_TILE, SLACK = 1 << 21, 2e-5
+#: Links that are listed rather than found anew each time a loose part is split.
+LISTED = 1 << 23
 
 
 def direction_sets(unit: np.ndarray, rows: np.ndarray, m: int | None = None) -> np.ndarray:
@@ -138,38 +144,129 @@ def components(n: int, links: np.ndarray) -> np.ndarray:
     return label
 
 
-def split_loose(unit: np.ndarray, links: np.ndarray, least: float) -> np.ndarray:
-    """The medoid of each row, -1 for rows without links.
+def near_pairs(unit: np.ndarray, least: float, first: int | None = None, label=None):
+    """All pairs ``(a, b)`` of rows at a cosine of ``least`` or more (to 6 digits), a part at a time.
+
+    Products in single precision choose what is checked exactly. With ``first`` only pairs of a row before it and one
+    from there on are given. ``label`` is a function whose present labels of the rows tell pairs that aren't wanted.
+    """
+    x, limit = unit.astype(np.float32), np.float32(least - SLACK)
+    s, end = 0, len(x) if first is None else first
+    while s < end:
+        c = s if first is None else first
+        e = min(end, s + max(1, _TILE // max(1, len(x) - c)))
+        hit = x[s:e] @ x[c:].T >= limit
+        now = label() if label else None
+        if label and np.count_nonzero(hit) > _TILE >> 4:  # a dense group, most of which is joined already
+            hit &= now[s:e, None] != now[None, c:]
+        a, b = np.divmod(np.flatnonzero(hit), len(x) - c)
+        a, b = a + s, b + c
+        new = (a < b) & (now[a] != now[b]) if label else a < b
+        a, b = a[new], b[new]
+        good = np.empty(len(a), dtype=bool)
+        for k in range(0, len(a), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            good[part] = np.round(np.einsum("ij,ij->i", unit[a[part]], unit[b[part]]), 6) >= least
+        if good.any():
+            yield a[good], b[good]
+        s = e
+
+
+def linked_labels(unit: np.ndarray, label: np.ndarray, least: float, first: int | None = None) -> np.ndarray:
+    """For each label ``0 .. k - 1`` the smallest one that links (:func:`near_pairs`) join it with; rows of a label belong together."""
+    root = np.arange(label.max() + 1)
+    for a, b in near_pairs(unit, least, first, lambda: root[label]):
+        pair = _distinct(root[label[a]] * np.int64(len(root)) + root[label[b]])
+        root = components(len(root), np.stack(np.divmod(pair, len(root)), axis=1))[root]
+    return root
+
+
+def _regrouping(unit: np.ndarray, least: float):
+    """A function that gives rows left over from groups their components by links among themselves.
+
+    The links of the first rows are listed, if there aren't too many; later rows are some of them.
+    """
+    listed: list[np.ndarray] = []
+
+    def parts(rows, group):
+        order = np.argsort(group, kind="stable")
+        return np.split(rows[order], np.flatnonzero(np.diff(group[order])) + 1)
+
+    def all_links(rows, group):
+        found, n = [np.empty((0, 2), dtype=np.int64)], 0
+        for part in parts(rows, group):
+            for a, b in near_pairs(unit[part], least):
+                n += len(a)
+                if n > LISTED:
+                    return None
+                found.append(np.stack([part[a], part[b]], axis=1))
+        return np.concatenate(found)
+
+    def regroup(rows, group):
+        if not listed:
+            listed.append(all_links(rows, group))
+        out = np.arange(len(unit))
+        if listed[0] is not None:
+            free = np.zeros(len(unit), dtype=bool)
+            free[rows] = True
+            listed[0] = listed[0][free[listed[0]].all(axis=1)]
+            return components(len(unit), listed[0])[rows]
+        for part in parts(rows, group):
+            out[part] = part[linked_labels(unit[part], np.arange(len(part)), least)]
+        return out[rows]
+
+    return regroup
+
+
+def split_groups(unit: np.ndarray, group: np.ndarray, least: float, regroup=None) -> np.ndarray:
+    """The medoid of each row, -1 for rows whose group is -1.
 
     Of a component the row with the highest degree, weighted by similarity, becomes a medoid: the one with the largest
     sum of cosines to all rows of the component, which their summed vector gives without listing pairs (to 6 digits of
     the mean; the first of equals). It takes all rows of the component that are similar to it; what is left over is
-    a looser part, which is split in the same way. A row whose partners all went to other medoids is left as its own.
+    a looser part, of which ``regroup(rows, groups)`` tells the components and which is split in the same way. A row
+    whose partners all went to other medoids is left as its own.
     """
-    n = len(unit)
-    medoid = np.full(n, -1)
-    free = np.bincount(links.ravel(), minlength=n) > 0 if len(links) else np.zeros(n, dtype=bool)
-    while free.any():
-        inner = links[free[links].all(axis=1)]
-        rows = np.flatnonzero(free)
-        group = np.unique(components(n, inner)[rows], return_inverse=True)[1]
+    medoid = np.full(len(unit), -1)
+    rows, group = np.flatnonzero(group >= 0), group[group >= 0]
+    regroup = regroup or _regrouping(unit, least)
+    while len(rows):
+        group = np.unique(group, return_inverse=True)[1]
         sums = np.zeros((group.max() + 1, unit.shape[1]))
         np.add.at(sums, group, unit[rows])
         mean = np.round(np.einsum("ij,ij->i", unit[rows], sums[group]) / np.bincount(group)[group], 6)
         order = np.lexsort((rows, -mean, group))
         head = rows[order[np.r_[True, np.diff(group[order]) != 0]]]
         mine = head[group]
-        close = (np.einsum("ij,ij->i", unit[rows], unit[mine]) >= least) | (rows == mine)
+        close = (np.round(np.einsum("ij,ij->i", unit[rows], unit[mine]), 6) >= least) | (rows == mine)
         medoid[rows[close]] = mine[close]
-        free[rows[close]] = False
+        rows, group = rows[~close], group[~close]
+        group = regroup(rows, group) if len(rows) else group
     return medoid
 
 
-LOCAL = "typeno int, featno int, medoid int, members int, sim double"
+def split_loose(unit: np.ndarray, links: np.ndarray, least: float) -> np.ndarray:
+    """:func:`split_groups` of the components of given links; rows without links have the medoid -1."""
+    n = len(unit)
+    linked = np.bincount(links.ravel(), minlength=n) > 0 if len(links) else np.zeros(n, dtype=bool)
+
+    def regroup(rows, _):
+        free = np.zeros(n, dtype=bool)
+        free[rows] = True
+        return components(n, links[free[links].all(axis=1)])[rows]
+
+    return split_groups(unit, np.where(linked, components(n, links), -1), least, regroup)
+
+
+LABELS = "typeno int, featno int, label bigint"
 
 
-def _cell_clusters(model: np.ndarray, least: float):
-    schema = pa.schema([("typeno", pa.int32()), ("featno", pa.int32()), ("medoid", pa.int32()), ("members", pa.int32()), ("sim", pa.float64())])
+def _ids(typeno: int, feat: np.ndarray) -> np.ndarray:
+    return (np.int64(typeno) << np.int64(32)) | (feat.astype(np.int64) & np.int64(0xFFFFFFFF))
+
+
+def _cell_labels(model: np.ndarray, least: float):
+    schema = pa.schema([("typeno", pa.int32()), ("featno", pa.int32()), ("label", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         feat = np.asarray(table["featno"])
@@ -178,16 +275,157 @@ def _cell_clusters(model: np.ndarray, least: float):
         order = np.argsort(feat)
         feat, unit = feat[order], units(blobs(table["vec"])[order])
         links = band_links(unit, direction_sets(unit, model), 2 * len(model), least)
-        medoid = split_loose(unit, links, least)
-        rows = np.flatnonzero(medoid >= 0)
-        sim = np.einsum("ij,ij->i", unit[rows], unit[medoid[rows]])
-        members = np.bincount(medoid[rows], minlength=len(feat))[medoid[rows]]
-        typ = np.full(len(rows), table["typeno"][0].as_py())
-        return pa.table([pa.array(c, t) for c, t in zip((typ, feat[rows], feat[medoid[rows]], members, sim), schema.types, strict=True)], schema=schema)
+        rows = np.unique(links)
+        typeno = table["typeno"][0].as_py()
+        label = _ids(typeno, feat)[components(len(feat), links)[rows]]
+        return pa.table([pa.array(c, t) for c, t in zip((np.full(len(rows), typeno), feat[rows], label), schema.types, strict=True)], schema=schema)
+
+    return run
+
+
+FOUND = "typeno int, featno int, medoid int, sim double"
+_FOUND = pa.schema([("typeno", pa.int32()), ("featno", pa.int32()), ("medoid", pa.int32()), ("sim", pa.float64())])
+
+
+def _found(typ: np.ndarray, feat: np.ndarray, unit: np.ndarray, medoid: np.ndarray) -> pa.Table:
+    rows = np.flatnonzero(medoid >= 0)
+    at = medoid[rows]
+    cols = typ[rows], feat[rows], feat[at], np.einsum("ij,ij->i", unit[rows], unit[at])
+    return pa.table([pa.array(c, t) for c, t in zip(cols, _FOUND.types, strict=True)], schema=_FOUND)
+
+
+def _labelled(table: pa.Table, known: pa.Table):
+    """Vectors of a type in order, with the labels known of them and their own ids for the others."""
+    feat = np.asarray(table["featno"])
+    order = np.argsort(feat)
+    feat, unit = feat[order], units(blobs(table["vec"])[order])
+    label = _ids(table["typeno"][0].as_py(), feat)
+    if known.num_rows:
+        label[np.searchsorted(feat, np.asarray(known["featno"]))] = np.asarray(known["label"])
+    return order, feat, unit, label
+
+
+def _type_clusters(least: float):
+    """Clusters of a type that one task holds."""
+
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        if table.num_rows < 2:
+            return _FOUND.empty_table()
+        _, feat, unit, label = _labelled(table, known)
+        code = np.unique(label, return_inverse=True)[1]
+        group = linked_labels(unit, code, least)[code]
+        group = np.where(np.bincount(group)[group] > 1, group, -1)
+        return _found(np.full(len(feat), table["typeno"][0].as_py()), feat, unit, split_groups(unit, group, least))
 
     return run
 
 
+def _component_clusters(least: float):
+    """Clusters of some whole components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        typ, feat = np.asarray(table["typeno"]), np.asarray(table["featno"])
+        order = np.lexsort((feat, typ))
+        unit = units(blobs(table["vec"])[order])
+        group = np.unique(np.asarray(table["comp"])[order], return_inverse=True)[1]
+        return _found(typ[order], feat[order], unit, split_groups(unit, group, least))
+
+    return run
+
+
+def _block_links(least: float):
+    """Links between labels, as a forest, of the vectors of two blocks or of one."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        if table.num_rows < 2:
+            return schema.empty_table()
+        order, _, unit, label = _labelled(table, known)
+        first, a, b = None, table["a"][0].as_py(), table["b"][0].as_py()
+        if a != b:
+            late = np.asarray(table["block"])[order] == b
+            unit, label, first = unit[np.argsort(late, kind="stable")], label[np.argsort(late, kind="stable")], int((~late).sum())
+        names, code = np.unique(label, return_inverse=True)
+        root = linked_labels(unit, code, least, first)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table([pa.array(names[moved]), pa.array(names[root[moved]])], schema=schema)
+
+    return run
+
+
+def _packed(df: DataFrame) -> DataFrame:
+    """``df`` with ``vec`` as packed float32 components."""
+    names = df.columns
+
+    def run(batches):
+        for batch in batches:
+            raw = np.ascontiguousarray(matrix(batch.column("vec")), dtype=np.float32) if batch.num_rows else ()
+            cols = [pa.array([r.tobytes() for r in raw], pa.binary()) if c == "vec" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return df.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'vec' else t}" for c, t in df.dtypes))
+
+
+def _large(rows: DataFrame, by: str) -> dict[int, int]:
+    """Blocks of each type or component of more than ``BLOCK`` rows, of which there are few."""
+    return {r[by]: -(-r["count"] // BLOCK) for r in rows.groupBy(by).count().where(F.col("count") > BLOCK).collect()}
+
+
+def _exact_components(rows: DataFrame, labels: DataFrame, by: str, large: dict[int, int], least: float) -> DataFrame:
+    """``(node, comp)`` of all labels that are linked to others within a value of ``by``.
+
+    ``rows`` are ``(by, typeno, featno, vec)`` and ``labels`` ``(by, featno, label)`` of those that have one; the others
+    are labelled with their ids. Each pair of blocks is multiplied in one task and gives one row a label at most.
+    """
+    sizes = F.coalesce(F.create_map(*[F.lit(x) for kv in large.items() for x in kv])[F.col(by)], F.lit(1)) if large else F.lit(1)
+
+    def paired(df):
+        there = df.withColumn("block", F.pmod(F.xxhash64("featno"), sizes).cast("int"))
+        there = there.withColumn("with", F.explode(F.sequence(F.lit(0), sizes.cast("int") - 1)))
+        return there.withColumns({"a": F.least("block", "with"), "b": F.greatest("block", "with")}).drop("with").groupBy(by, "a", "b")
+
+    return connected_components(paired(_packed(rows)).cogroup(paired(labels)).applyInArrow(_block_links(least), "a bigint, b bigint"))
+
+
+def _large_clusters(cut: Cut, rows: DataFrame, labels: DataFrame, large: dict[int, int], least: float, dim: int) -> DataFrame:
+    """``(typeno, featno, medoid, sim)`` of types of many blocks: as :func:`split_groups`, a step at a time over all tasks.
+
+    Components that one task holds are split there. Of larger ones the summed vector chooses the medoid, members are
+    held against it, and those left over make components anew.
+    """
+    joined = _exact_components(rows, labels, "typeno", large, least)
+    node = rows.join(labels, ["typeno", "featno"], "left").withColumn("node", F.coalesce("label", _id("typeno", "featno")))
+    own = node.join(joined, "node", "left").where("label is not null or comp is not null")
+    rest = cut.keep(own.select("typeno", "featno", "vec", F.coalesce("comp", "node").alias("comp")))
+    found = []
+    while True:
+        large = _large(rest, "comp")
+        small = rest.where(~F.col("comp").isin(*large)) if large else rest
+        buckets = max(1, -(-2 * small.count() // BLOCK))
+        parts = _packed(small).groupBy(F.pmod(F.xxhash64("comp"), F.lit(buckets)).alias("bucket"))
+        found.append(cut.keep(parts.applyInArrow(_component_clusters(least), FOUND)))
+        if not large:
+            break
+        wide = cut.keep(rest.where(F.col("comp").isin(*large)).withColumn("unit", _unit("vec", dim)))
+        sums = wide.groupBy("comp").agg(F.count("*").alias("n"), F.array(*[F.sum(F.get("unit", F.lit(i))) for i in range(dim)]).alias("total"))
+        central = F.round(_dot("unit", "total") / F.col("n"), 6)
+        scored = wide.join(sums, "comp").select("comp", F.struct(central.alias("mean"), (-F.col("featno")).alias("f"), "unit").alias("h"))
+        heads = scored.groupBy("comp").agg(F.max("h").alias("h")).select("comp", (-F.col("h.f")).alias("medoid"), F.col("h.unit").alias("head"))
+        held = cut.keep(wide.join(heads, "comp").select("typeno", "featno", "vec", "comp", "medoid", _dot("unit", "head").alias("sim")))
+        close = (F.round("sim", 6) >= least) | (F.col("featno") == F.col("medoid"))
+        found.append(held.where(close).select("typeno", "featno", "medoid", "sim"))
+        left = cut.keep(held.where(~close).select("typeno", "featno", "vec", "comp"))
+        cut.drop(wide, rest)
+        none = left.select("comp", "featno", F.col("comp").alias("label")).limit(0)
+        joined = _exact_components(left, none, "comp", _large(left, "comp"), least).withColumnRenamed("comp", "part")
+        part = left.withColumn("node", _id("typeno", "featno")).join(joined, "node", "left")
+        rest = cut.keep(part.select("typeno", "featno", "vec", F.coalesce("part", "node").alias("comp")))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def _id(typeno: str, featno: str):
     return F.shiftleft(F.col(typeno).cast("bigint"), 32).bitwiseOR(F.col(featno).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
 
@@ -218,14 +456,18 @@ def clusters(vectors: DataFrame, model: DataFrame, *, least: float = 0.8, probes
 
     Method. The set of a vector are the directions of ``model`` (the rows that make the sign bits of ``lsh``, either
     way round) nearest to it. MinHash bands over the sets give candidate pairs; exact Jaccard similarity and then
-    the exact cosine verify them; components of the links are the groups, and loose ones are split round medoids
-    of the highest degree, links weighted by their similarity (:func:`split_loose`).
-
-    Plan. Vectors are sent once to the few cells round whose centroids they lie, and links are found within cells; a
-    cell sends back one row for each linked vector and no pairs. Components of different cells that share a vector
-    are joined through their medoids, which are far fewer. Where no cell had all members of a component, its
-    vectors are summed by partial aggregation, the medoid of the whole is chosen by them, and members are held against
-    it. Exact copies are set aside first and follow the one that stands for them.
+    the exact cosine verify them. The groups that they form are then completed: an exact pass over all pairs of a type
+    gives every link between different groups, or vectors without one, that reaches ``least`` (to 6 digits).
+    Components of all links are split round medoids of the highest degree, links weighted by their similarity
+    (:func:`split_groups`). So ``probes``, ``margin`` and the bands decide how much the exact pass has to list,
+    never what is found.
+
+    Plan. Vectors are sent once to the few cells round whose centroids they lie, and candidates are found within
+    cells; a cell sends back one row for each linked vector and no pairs. The exact pass takes a type of up to
+    ``BLOCK`` vectors in one task, which gives its clusters too. Of larger types it takes each pair of blocks in a
+    task, which gives a forest of links between groups; components of more than ``BLOCK`` vectors are summed by
+    partial aggregation (:func:`_large_clusters`). Its products grow with the square of a type. Exact copies are set
+    aside first and follow the one that stands for them.
 
     Edge cases. See :func:`cells.current_vectors` for keys, repeats and unusable vectors. Copies without any other
     similar vector form a cluster of their own. Rows of the model that are null or of another size are ignored; a
@@ -244,46 +486,24 @@ def clusters(vectors: DataFrame, model: DataFrame, *, least: float = 0.8, probes
     current, same, single = distinct_vectors(cut, vectors, dim)
     cells = fit_cells(single)
     cells.parts[:] = 1
-    placed = in_tasks(routed(single, cells, probes=probes, margin=margin), cells).applyInArrow(_cell_clusters(units(usable), least), LOCAL)
-    placed = cut.keep(placed)
-
-    # a vector left over in one cell may be in a cluster of another
-    local = placed.where("members > 1")
-    strays = placed.where("members = 1").select("typeno", "featno").distinct().join(local.select("typeno", "featno"), ["typeno", "featno"], "left_anti")
-    strays = strays.select("typeno", "featno", F.col("featno").alias("medoid"), F.lit(1.0).alias("sim"))
-
-    # cells that share a vector: their medoids belong together
-    own = local.groupBy("typeno", "featno").agg(F.min("medoid").alias("low"), F.max("medoid").alias("high"), F.max("members").alias("members"), F.max(F.struct("medoid", "sim")).alias("m"))
-    many = local.join(own.where("low <> high").select("typeno", "featno", "low"), ["typeno", "featno"]).where("medoid <> low")
-    joined = connected_components(many.select(_id("typeno", "low").alias("a"), _id("typeno", "medoid").alias("b")).distinct())
-    named = own.withColumn("node", _id("typeno", "low")).join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = cut.keep(named.select("typeno", "featno", "low", "high", "members", "m.sim", "comp"))
-    # a component of one medoid that a cell had whole needs no further check
-    whole = named.groupBy("comp").agg(((F.min("low") == F.max("high")) & (F.count("*") == F.max("members"))).alias("whole"))
-    marked = named.join(whole, "comp")
-    alone = marked.where("whole").select("typeno", "featno", F.col("low").alias("medoid"), "sim")
-    vec = current.select("typeno", "featno", _unit("vec", dim).alias("vec"))
-    wide = cut.keep(marked.where(~F.col("whole")).select("typeno", "featno", "low", "comp").join(vec, ["typeno", "featno"]))
-    sums = wide.groupBy("comp").agg(F.count("*").alias("n"), F.array(*[F.sum(F.get("vec", F.lit(i))) for i in range(dim)]).alias("total"))
-    central = F.round(_dot("vec", "total") / F.col("n"), 6)
-    scored = wide.join(sums, "comp").select("comp", F.struct(central.alias("mean"), (-F.col("featno")).alias("f"), "vec").alias("h"))
-    heads = scored.groupBy("comp").agg(F.max("h").alias("h")).select("comp", (-F.col("h.f")).alias("medoid"), F.col("h.vec").alias("head_vec"))
-    held = cut.keep(wide.join(heads, "comp").select("typeno", "featno", "low", "medoid", _dot("vec", "head_vec").alias("sim")))
-    near = held.where(F.col("sim") >= least).select("typeno", "featno", "medoid", "sim")
-    loose = held.where(F.col("sim") < least).select("typeno", "featno", F.col("low").alias("medoid"))
-    loose = loose.join(local.select("typeno", "featno", "medoid", "sim").distinct(), ["typeno", "featno", "medoid"])
-    found = alone.unionByName(near).unionByName(loose).unionByName(strays)
+    placed = in_tasks(routed(single, cells, probes=probes, margin=margin), cells).applyInArrow(_cell_labels(units(usable), least), LABELS)
+    labels = cut.keep(placed.groupBy("typeno", "featno").agg(F.min("label").alias("label")))
+    rows = single.select("typeno", "featno", "vec")
+    large = _large(rows, "typeno")
+    many = F.col("typeno").isin(*large)
+    few_rows, few_labels = (df.where(~many) if large else df for df in (_packed(rows), labels))
+    found = few_rows.groupBy("typeno").cogroup(few_labels.groupBy("typeno")).applyInArrow(_type_clusters(least), FOUND)
+    if large:
+        found = found.unionByName(_large_clusters(cut, rows.where(many), labels.where(many), large, least, dim))
+    found = cut.keep(found)
 
     rep_of = found.select("typeno", F.col("featno").alias("rep"), "medoid", "sim")
     copied = same.where(F.col("featno") != F.col("rep")).join(rep_of, ["typeno", "rep"], "left")
     lone = same.join(rep_of.select("typeno", "rep"), ["typeno", "rep"], "left_anti").select("typeno", "featno", F.col("rep").alias("medoid"), F.lit(1.0).alias("sim"))
     copied = copied.where(F.col("medoid").isNotNull()).select("typeno", "featno", "medoid", "sim")
     everyone = cut.keep(found.unionByName(copied).unionByName(lone))
-    first = everyone.groupBy("typeno", "medoid").agg(F.min("featno").alias("cluster_featno"), F.count("*").alias("size"))
-    # who is left with a medoid that went to another cluster itself is a cluster of its own
-    left = F.col("size") == 1
-    medoid, sim = F.when(left, F.col("featno")).otherwise(F.col("medoid")), F.when(left, 1.0).otherwise(F.col("sim"))
-    return everyone.join(first, ["typeno", "medoid"]).select("typeno", "featno", "cluster_featno", medoid.alias("medoid"), sim.alias("sim"))
+    first = everyone.groupBy("typeno", "medoid").agg(F.min("featno").alias("cluster_featno"))
+    return everyone.join(first, ["typeno", "medoid"]).select("typeno", "featno", "cluster_featno", "medoid", "sim")
 
 
 def described(found: DataFrame, typical: int = 3) -> DataFrame:
